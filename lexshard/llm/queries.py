@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, urls, warc
+from . import licenses, mixing, neardup, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, on shingles of four words."""
+    return neardup.cluster(_table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
@@ -93,7 +98,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op8_license_scans": op8_license_scans, "op10_warc": op10_warc}
+    return {"op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
