@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, urls, warc
+from . import licenses, mixing, neardup, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    files = tokens.write(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
+    return tokens.read(files, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("id", "doc_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixing.draw(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -98,7 +107,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op10_warc": op10_warc}
+    return {"op2_tokens": op2_tokens, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
