@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, tokens, urls, warc
+from . import licenses, lmscore, mixing, neardup, quality, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, n_words, perplexity, threshold, keep of every document."""
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files."""
     import public_tokenizers
@@ -84,6 +89,11 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, score of every document."""
+    return lmscore.score(_table(spark, sf_dir, "documents"), lmscore.target_ids(_table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back."""
     pages = _table(spark, sf_dir, "pages")
@@ -107,7 +117,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_tokens": op2_tokens, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op9_lm_scoring": op9_lm_scoring, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
