@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lmscore, mixing, neardup, quality, tokens, urls, warc
+from . import decontaminate, licenses, lmscore, mixing, neardup, quality, tokens, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,26 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(files, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("id", "doc_id")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score for every vector whose id is divisible by 50."""
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixing.draw(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -79,6 +99,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, first_word, n_words, similarity of every document and benchmark item that it holds."""
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, on shingles of four words."""
     return neardup.cluster(_table(spark, sf_dir, "documents"), k=4)
@@ -117,8 +142,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op9_lm_scoring": op9_lm_scoring, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_tokens": op2_tokens, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_decontamination": op6_decontamination, "op7_minhash": op7_minhash, "op8_license_scans": op8_license_scans, "op9_lm_scoring": op9_lm_scoring, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op10_warc": OP10_SQL}
+    return {"op3_topk": OP3_SQL, "op4_mixing": OP4_SQL, "op10_warc": OP10_SQL}
