@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import discard, written
 from .words import grams, hashes, lower_words, mix64, texts
 
 MINIMA, ROWS = 128, 4
@@ -150,10 +150,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     labels = written(members.select("cid", F.col("cid").alias("label")).distinct(), "labels")
 
     # Signatures and full sets of the classes that share a bucket.
-    need = labels.select("cid").join(classes.select("cid", "digest", "rep"), "cid").select("cid", F.col("digest").alias("of"), "rep")
-    reps = rows.join(_small(written(need, "needed")), F.col("id").eqNullSafe(F.col("rep"))).select("cid", "of", "text")
+    need = written(labels.select("cid").join(classes.select("cid", "digest", "rep"), "cid").select("cid", F.col("digest").alias("of"), "rep"), "needed")
+    reps = rows.join(_small(need), F.col("id").eqNullSafe(F.col("rep"))).select("cid", "of", "text")
     full = reps.mapInArrow(_sketches(k, True), "cid long, of binary, n long, digest binary, sig binary, shingles binary")
     full = written(full.filter(F.col("of") == F.col("digest")).select("cid", "sig", "shingles"), "sets")
+    discard(need)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: full.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"set_{c}"))
@@ -192,4 +193,25 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     named = written(named.unionByName(least_id.filter("alone AND copies > 1").select("digest", F.col("rep").alias("least"))), "components")
     out = sketch.select("id", "n", "digest").join(named, "digest", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = written(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
+    discard(sketch, classes, members, full, maybe, named)
+    return out
+
+
+def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but one for each component: that of the smallest id, and of repeated rows
+    (equal in id and text) one. Rows without words stay. Nulls and other cases: as for cluster()."""
+    key = lambda: (F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"))
+    light = cluster(docs, id_col, text_col, k, least)
+    gone = written(light.filter("NOT kept").select(F.col(id_col).alias("__id")).distinct(), "dropped")
+    same = lambda left, right: left[id_col].eqNullSafe(right["__id"])
+    gone_side = _small(gone)
+    left = docs.join(gone_side, same(docs, gone_side), "left_anti")
+    again = written(docs.filter(F.coalesce(F.trim(text_col), F.lit("")) != "").select(*key()).groupBy("__id", "__hash").count().filter("count > 1").select("__id", "__hash"), "repeated")
+    if again.isEmpty():
+        return left
+    again = _small(again)
+    on = left[id_col].eqNullSafe(again["__id"]) & (F.xxhash64(left[text_col]) == again["__hash"])
+    nth = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
+    one = left.join(again, on, "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return left.join(again, on, "left_anti").unionByName(one)

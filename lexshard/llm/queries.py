@@ -21,9 +21,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files."""
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
+def token_files(docs: DataFrame) -> DataFrame:
+    """docs written as files of token ids, read back."""
     import public_tokenizers
 
-    docs = _table(spark, sf_dir, "documents")
     files = tokens.write(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
     return tokens.read(files, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("id", "doc_id")
 

@@ -33,7 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that written() made and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
