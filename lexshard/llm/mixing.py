@@ -106,11 +106,11 @@ def _plan(light: DataFrame, source_col: str, weights: Sequence[int], max_epochs:
 def _at_the_boundary(rows: DataFrame, source_col: str, id_col: str) -> DataFrame:
     before = F.sum("__size").over(Window.partitionBy(source_col).orderBy("__key", id_col, "__digest").rowsBetween(Window.unboundedPreceding, -1))
     room = F.col("__left") - F.col("__before") - F.coalesce(before, F.lit(0))
-    return rows.withColumn("taken", F.col("__epochs") * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), room)))
+    return rows.withColumn("__taken", F.col("__epochs") * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), room)))
 
 
 def _away_from_it(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("taken", (F.col("__epochs") + F.when(F.col("__bucket") < F.col("__end"), 1).otherwise(0)) * F.col("__size"))
+    return rows.withColumn("__taken", (F.col("__epochs") + F.when(F.col("__bucket") < F.col("__end"), 1).otherwise(0)) * F.col("__size"))
 
 
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, buckets: int = 4096) -> DataFrame:
@@ -129,7 +129,7 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = _with_plan(light, _plan(light, source_col, weights, max_epochs), source_col)
     at_end = F.col("__bucket") == F.col("__end")
     both = _away_from_it(rows.filter(~at_end)).unionByName(_at_the_boundary(rows.filter(at_end), source_col, id_col))
-    return both.select(id_col, source_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken")
+    return both.select(id_col, source_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, buckets: int = 4096) -> DataFrame:
@@ -143,11 +143,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at_end = F.col("__bucket") == F.col("__end")
     nth = F.row_number().over(Window.partitionBy("__digest").orderBy("__size"))
     ends = _at_the_boundary(_with_plan(light, plan, source_col).filter(at_end), source_col, id_col)
-    ends = ends.select(F.col("__digest").alias("__d"), F.row_number().over(Window.partitionBy("__digest").orderBy("taken")).alias("__n"), "taken")
+    ends = ends.select(F.col("__digest").alias("__d"), F.row_number().over(Window.partitionBy("__digest").orderBy("__taken")).alias("__n"), "__taken")
     rows = _with_plan(keyed, plan, source_col)
     there = rows.filter(at_end).withColumn("__nth", nth)
     there = there.join(ends, (there["__digest"] == ends["__d"]) & (there["__nth"] == ends["__n"]))
-    cols = [*names, "__size", "taken"]
+    cols = [*names, "__size", "__taken"]
     both = _away_from_it(rows.filter(~at_end)).select(*cols).unionByName(there.select(*cols))
-    copies = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
+    copies = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).filter(F.col("__copy") > 0).select(*names)
