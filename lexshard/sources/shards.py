@@ -29,6 +29,9 @@ SUMMARY = "_shard.json"
 FILE_BYTES, POSTING_BYTES = 128 << 20, 8
 
 
+NO_TERM_SQL = "term IS NULL OR term = ''"
+
+
 def encoded(value: object) -> object:
     """A bound as JSON has it."""
     if isinstance(value, Decimal):
@@ -47,7 +50,8 @@ def terms_schema(kind: ValueKind) -> T.StructType:
 
 
 def write_shard(rows: DataFrame, path: str, kind: ValueKind, segment_size: int) -> dict:
-    """Write distinct (term, value) rows, a null value for a term without postings, as a shard; its summary."""
+    """Write distinct (term, value) rows, a null value for a term without postings, as a shard; its summary. Terms and values
+    are checked as they are written; BadInput: some can't be indexed, and the shard has no summary."""
     spark = rows.sparkSession
     files = Files(spark)
     seen, listed = Observation(), Observation()
@@ -56,10 +60,13 @@ def write_shard(rows: DataFrame, path: str, kind: ValueKind, segment_size: int)
     # AQE merges small ranges, so that small shards have few files.
     dealt = held.repartitionByRange("term", "value") if parts else held
     dealt = dealt.sortWithinPartitions("term", "value")
-    dealt.observe(seen, F.count("*").alias("n_postings"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).write.parquet(f"{path}/postings")
+    dealt.observe(seen, F.count("*").alias("n_postings"), F.count_if(kind.is_bad(F.col("value"))).alias("bad_values"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).write.parquet(f"{path}/postings")
     stats = ops.stats_of(rows).repartitionByRange("term").sortWithinPartitions("term")
-    stats.observe(listed, F.count("*").alias("n_terms"), F.min("term").alias("min_term"), F.max("term").alias("max_term")).write.parquet(f"{path}/terms")
+    stats.observe(listed, F.count("*").alias("n_terms"), F.count_if(F.expr(NO_TERM_SQL)).alias("bad_terms"), F.min("term").alias("min_term"), F.max("term").alias("max_term")).write.parquet(f"{path}/terms")
     summary = {k: encoded(v) for k, v in (seen.get | listed.get).items()}
+    if summary.pop("bad_values") + summary.pop("bad_terms"):
+        found = rows.filter(F.expr(NO_TERM_SQL) | F.coalesce(kind.is_bad(F.col("value")), F.lit(False))).first()
+        raise BadInput(f"{found['term']!r}: {found['value']!r}")
     summary |= {"kind": kind.name, "segment_size": segment_size, "postings_bytes": files.size(f"{path}/postings"), "terms_bytes": files.size(f"{path}/terms")}
     summary["bytes"] = summary["postings_bytes"] + summary["terms_bytes"]
     if not files.create(f"{path}/{SUMMARY}", json.dumps(summary)):
@@ -145,12 +152,7 @@ class ShardWriter:
         if not (self._single or self._frames):
             raise EmptyIndex(self.path)
         try:
-            bad = F.col("term").isNull() | (F.col("term") == "") | F.coalesce(self.kind.is_bad(F.col("value")), F.lit(False))
-            rows = self._rows()
-            if found := rows.filter(bad).first():
-                raise BadInput(f"{found['term']!r}: {found['value']!r}")
-            rows = rows.distinct()
-            self.summary = write_shard(rows, self.path, self.kind, self.segment_size)
+            self.summary = write_shard(self._rows().distinct(), self.path, self.kind, self.segment_size)
             if not self.summary["n_terms"]:
                 raise EmptyIndex(self.path)
         except BaseException:
