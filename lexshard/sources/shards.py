@@ -25,8 +25,6 @@ from ..operators import postings as ops
 from .files import Files
 
 SUMMARY = "_shard.json"
-#: Bytes of postings that a file should have, and what a posting takes about.
-FILE_BYTES, POSTING_BYTES = 128 << 20, 8
 
 
 NO_TERM_SQL = "term IS NULL OR term = ''"
@@ -56,10 +54,7 @@ def write_shard(rows: DataFrame, path: str, kind: ValueKind, segment_size: int)
     files = Files(spark)
     seen, listed = Observation(), Observation()
     held = rows.filter("value IS NOT NULL")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # AQE merges small ranges, so that small shards have few files.
-    dealt = held.repartitionByRange("term", "value") if parts else held
-    dealt = dealt.sortWithinPartitions("term", "value")
+    dealt = held.repartitionByRange("term", "value").sortWithinPartitions("term", "value")  # AQE merges small ranges
     dealt.observe(seen, F.count("*").alias("n_postings"), F.count_if(kind.is_bad(F.col("value"))).alias("bad_values"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).write.parquet(f"{path}/postings")
     stats = ops.stats_of(rows).repartitionByRange("term").sortWithinPartitions("term")
     stats.observe(listed, F.count("*").alias("n_terms"), F.count_if(F.expr(NO_TERM_SQL)).alias("bad_terms"), F.min("term").alias("min_term"), F.max("term").alias("max_term")).write.parquet(f"{path}/terms")
