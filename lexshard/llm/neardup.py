@@ -7,7 +7,8 @@
    all to all. Links are checked by signature, then on the full sets. Rounds with other pivots follow for the buckets whose
    classes are not yet in one component.
 4. In what buckets are then still mixed, all pairs across components are compared by signature, in tiles, and those that
-   may be similar are confirmed on the full sets. So no link that joins two components is lost.
+   may be similar on their full sets, in the same task. So no link that joins two components is lost, and links alone
+   leave the task. Classes that have too many shingles of their own to be in such a link are left out before.
 5. Components come from alternating large-star and small-star.
 """
 
@@ -80,9 +81,7 @@ def _similar(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 if agree < (least / 100 - SLACK) * MINIMA:
                     good.append(False)
                     continue
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= least * (len(a) + len(b) - both))
+                good.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
 
@@ -93,26 +92,44 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
 
 
-def _tile_pairs(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of a pair of tiles of a bucket, the pairs across components whose signatures may belong to similar sets."""
+def _tile_links(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a pair of tiles of a bucket, the links across components: pairs whose signatures may belong to similar sets, and
+    whose sets are similar. A pair that shares several buckets is looked at in that of its first band only."""
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        band = int(rows["band"].iloc[0])
         rows = rows.drop_duplicates(["cid", "side"])
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if not len(right):
-            right = left
-        if not len(left):
-            return pd.DataFrame({"u": [], "v": [], "agree": []})
-        a, b = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, MINIMA) for x in (left, right))
-        la, lb, ca, cb = left["label"].values, right["label"].values, left["cid"].values, right["cid"].values
-        out = []
-        for i in range(len(a)):
-            agree = np.count_nonzero(b == a[i], axis=1)
-            at = np.flatnonzero((agree >= (least / 100 - SLACK) * MINIMA) & (lb != la[i]))
-            out.append(pd.DataFrame({"u": np.minimum(ca[i], cb[at]), "v": np.maximum(ca[i], cb[at]), "agree": agree[at]}))
-        return pd.concat(out).drop_duplicates()
-
-    return pairs
+        right = right if len(right) else left
+        out: list[tuple[int, int]] = []
+        if len(left):
+            a, b = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, MINIMA) for x in (left, right))
+            x, y = ([np.frombuffer(v, np.uint64) for v in side["shingles"]] for side in (left, right))
+            la, lb, ca, cb = left["label"].to_numpy(), right["label"].to_numpy(), left["cid"].to_numpy(), right["cid"].to_numpy()
+            ny = np.array([len(v) for v in y])
+            for i in range(len(a)):
+                fits = np.flatnonzero((lb != la[i]) & (100 * np.minimum(ny, len(x[i])) >= least * np.maximum(ny, len(x[i]))))
+                same = b[fits] == a[i]
+                fits = fits[(np.count_nonzero(same, axis=1) >= (least / 100 - SLACK) * MINIMA) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+                out += [(ca[i], cb[j]) for j in fits if _linked(x[i], y[j], least)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return links
+
+
+def _linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """100 * intersection >= least * union, of sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= least * (len(a) + len(b) - both)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        cids = np.repeat(batch.column("cid").to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["cid", "shingle"])
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -140,11 +157,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketches(k, False), f"id {kind}, n long, digest binary, sig binary"), "sketches")
-    classes = sketch.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = sketch.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)])
-    bands = classes.select("cid", F.explode(keys).alias("bucket"))
+    bands = classes.select("cid", "n", F.posexplode(keys).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(bands.join(shared, "bucket"), "buckets")
     labels = written(members.select("cid", F.col("cid").alias("label")).distinct(), "labels")
@@ -168,24 +185,33 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         pairs = pairs.groupBy(F.col("cid").alias("u"), F.col("pivot").alias("v")).count().groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
         labels = _relabelled(labels, confirmed(pairs))
 
+    # What is left: classes of buckets with several components. One of n shingles, m of them in no other such class, shares
+    # n - m at most; where that is too little even beside the smallest set in its buckets, it has no link across.
     now = members.join(labels, "cid")
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a != z").select("bucket")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit("tile"), "cid"), tiles).cast("int")
-    rest = now.join(mixed, "bucket").withColumn("tiles", tiles).withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rest = rest.select("bucket", "cid", "label", "mine", other.alias("other"))
-    rest = rest.select("bucket", "cid", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-    rest = rest.join(full.select("cid", "sig"), "cid")
-    maybe = rest.groupBy("bucket", "i", "j").applyInPandas(_tile_pairs(least), "u long, v long, agree long")
-    maybe = written(maybe.groupBy("u", "v").agg(F.max("agree").alias("agree")), "pairs")
-    for first in (8, None):  # the likeliest of each two components, then all that still join two
-        name = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias(f"l{c}"))
-        cross = maybe.join(name("u"), "u").join(name("v"), "v").filter("lu != lv")
-        if first:
-            ends = (F.least("lu", "lv"), F.greatest("lu", "lv"))
-            cross = cross.withColumn("nth", F.row_number().over(Window.partitionBy(*ends).orderBy(F.desc("agree"), "u", "v"))).filter(F.col("nth") <= first)
-        labels = _relabelled(labels, confirmed(cross))
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min("n").alias("smallest")).filter("a != z").select("bucket", "smallest")
+    rest = written(now.join(mixed, "bucket"), "mixed")
+    held = rest.groupBy("cid").agg(F.first("n").alias("n"), F.min("smallest").alias("smallest"))
+    lone = full.select("cid", "shingles").join(held.select("cid"), "cid").mapInArrow(_exploded, "cid long, shingle long")
+    lone = lone.groupBy("shingle").agg(F.count("*").alias("in"), F.min("cid").alias("cid")).filter("`in` = 1").groupBy("cid").agg(F.count("*").alias("lone"))
+    can = held.join(lone, "cid", "left").filter((F.col("n") - F.coalesce("lone", F.lit(0))) * (100 + least) >= least * (F.col("n") + F.col("smallest")))
+    rest = written(rest.join(can.select("cid"), "cid").select("band", "bucket", "cid", "label"), "mixed")
+
+    # A bucket's largest component meets the others in tiles, and these one another; members of one component don't meet.
+    by_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    shape = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    tiles = lambda c: F.ceil(c / TILE).cast("int")
+    shape = shape.filter(F.col("all") > F.col("most")).select("bucket", "main", tiles(F.col("most")).alias("main_tiles"), tiles(F.col("all") - F.col("most")).alias("other_tiles"))
+    rest = rest.join(shape, "bucket")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c: F.pmod(F.xxhash64(F.lit("tile"), "cid"), F.col(c)).cast("int")
+    cols = ("band", "bucket", "cid", "label")
+    mains, others = rest.filter("label = main"), rest.filter("label != main").withColumn("mine", mine("other_tiles"))
+    met = mains.select(*cols, F.lit(0).alias("kind"), each("other_tiles").alias("i"), mine("main_tiles").alias("j"), F.lit(1).alias("side"))
+    met = met.unionAll(others.select(*cols, F.lit(0).alias("kind"), F.col("mine").alias("i"), each("main_tiles").alias("j"), F.lit(0).alias("side")))
+    apart = others.select(*cols, "mine", each("other_tiles").alias("other"))
+    met = met.unionAll(apart.select(*cols, F.lit(1).alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side")))
+    across = met.join(full, "cid").groupBy("bucket", "kind", "i", "j").applyInPandas(_tile_links(least), "u long, v long")
+    labels = _relabelled(labels, written(across, "links"))
 
     least_id = classes.join(labels, "cid", "left").select("digest", "copies", "rep", "label").withColumn("alone", F.col("label").isNull())
     joined = least_id.filter("NOT alone").groupBy("label").agg(F.min("rep").alias("least"))
@@ -194,7 +220,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     out = sketch.select("id", "n", "digest").join(named, "digest", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
     out = written(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
-    discard(sketch, classes, members, full, maybe, named)
+    discard(sketch, classes, members, full, named)
     return out
 
 
