@@ -9,7 +9,9 @@ A file: MAGIC; the sizes of the next two parts; code lengths, zlib; documents (i
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import struct
 import uuid
 import zlib
@@ -26,9 +28,14 @@ from .words import texts
 
 MAGIC = b"LXTOK01\n"
 #: A new file is begun beyond so many ids.
-ROTATE = 1 << 26
+ROTATE = 1 << 25
 #: Pieces of text whose ids a task remembers.
-MEMO = 500_000
+MEMO = 200_000
+#: Of them in a text for the library, whose time for a text grows faster than its length.
+LINES = 300
+#: Punctuation that is taken off the end of a piece.
+ENDINGS = ".,;:!?"
+NEW, NO_PIECE = -2, -1
 _encoders: dict[str, Encoder] = {}
 
 
@@ -46,48 +53,114 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
-        self.by_piece = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and not kind.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.forget()
+        t = self.tokenizer
+        rule = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer else {}
+        self.by_piece = type(t.model).__name__ == "BPE" and t.normalizer is None and t.post_processor is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
+        self.at, self.flat = self.marks(), np.empty(0, np.uint32)
+        self.ends, self.hits = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {"\n": -1, "": -1}  # -1: not a piece of its own
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def whole(self, docs: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(docs, add_special_tokens=False)]
+        """Forget pieces that came once, and of the others the rarest, until half the room is free."""
+        names = [p for p, i in self.at.items() if i >= 0]
+        own = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        hits = self.hits[own]
+        least = max(2, int(np.partition(hits, -(MEMO // 2))[-(MEMO // 2)]) + 1) if len(own) > MEMO // 2 else 2
+        stay = np.flatnonzero(hits >= least)
+        at = own[stay]
+        self.flat, n = self._of(at)
+        self.ends = np.concatenate([[0], np.cumsum(n)])
+        self.hits = self.hits[at] // 2
+        self.at = self.marks() | {names[k]: i for i, k in enumerate(stay.tolist())}
+
+    @staticmethod
+    def marks() -> dict[str, int]:
+        return {"\n": NO_PIECE, "": NO_PIECE}
+
+    def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered pieces one after the other, and how many each has."""
+        start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        return self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        known = len(self.ends) - 1
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int64)])
+        self.at.update(zip(pieces, range(known, known + len(pieces)), strict=True))
+
+    def whole(self, *docs: str) -> np.ndarray:
+        """The ids of texts, one after the other."""
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(docs), add_special_tokens=False)]
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember new pieces. One that ends in punctuation after a letter or digit is its word and the punctuation, which
+        the splitting rule never joins."""
+        bodies = [p[1:] if p[0] in "\0\n" else p for p in pieces]
+        good = pieces
+        if len("".join(bodies).split()) != 1 or not all(bodies):  # some have white space, or nothing, in them
+            good = [p for p, b in zip(pieces, bodies, strict=True) if b.split() == [b]]
+            self.at.update(dict.fromkeys(set(pieces).difference(good), NO_PIECE))
+        plain, joined = [], []
+        for p in good:
+            word = p.rstrip(ENDINGS)
+            if len(word) < len(p) and len(word) > (p[0] in "\0\n") and word[-1].isalnum():
+                joined.append((p, word, "\0" + p[len(word) :]))
+            else:
+                plain.append(p)
+        self._ask(list(dict.fromkeys(x for x in itertools.chain(plain, (x for j in joined for x in j[1:])) if x not in self.at)))
+        if joined:
+            ids, n = self._of(np.array([self.at[x] for j in joined for x in j[1:]], np.int64))
+            self._add([j[0] for j in joined], ids, n.reshape(-1, 2).sum(axis=1))
+
+    def _ask(self, pieces: list[str]) -> None:
+        """Remember what the library says of pieces. It gets them in texts of some hundred, a line each: the line feed after
+        each is one id, that no piece has."""
+        if not pieces:
+            return
+        feed = int(self.whole("\n")[0])
+        lines = [p[1:] + "\n" if p[0] in "\0\n" else f" {p}\n" for p in pieces]
+        ids = self.whole(*["".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)])
+        stop = np.flatnonzero(ids == feed)
+        n = np.diff(stop, prepend=-1) - 1
+        begins = np.array([p[0] == "\n" for p in pieces])  # these have the feed itself before their ids
+        keep = np.ones(len(ids), bool)
+        keep[stop] = False
+        at = stop - n
+        more = np.insert(ids, at[begins], feed)
+        self._add(pieces, more[np.insert(keep, at[begins], True)], n + begins)
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each has."""
         if not self.by_piece:
-            ids = self.whole(docs)
-            return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
+            parts = [self.whole(d) for d in docs]
+            return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.array([len(x) for x in parts], np.int64)
         if len(self.at) > MEMO:
             self.forget()
         # A piece stands for a space and itself, one that begins a text (after \0) or a line (after \n) for itself.
         split = [[] if not d else [""] if "\0" in d else ("\0" + d).replace("\n", " \n").split(" ") for d in docs]
-        new = [p for p in {p for x in split for p in x} if p not in self.at]
-        good = [p for p in new if len(q := p[p[0] in "\0\n" :].split()) == 1 and len(q[0]) == len(p) - (p[0] in "\0\n")]
-        self.at.update(dict.fromkeys(set(new).difference(good), -1))
-        known = len(self.ends) - 1
-        self.at.update(zip(good, range(known, known + len(good)), strict=True))
-        ids = self.whole([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in good])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        find, parts, sizes = self.at.__getitem__, [], []
-        for d, x in zip(docs, split, strict=True):
-            at = np.fromiter(map(find, x), np.int64, len(x))
-            if len(at) and at.min() < 0:
-                got = np.array(self.whole([d])[0], np.uint32)
-            else:
-                start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-                total = int(n.sum())
-                got = self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(total)]
-            parts.append(got)
-            sizes.append(len(got))
-        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.array(sizes, np.int64)
+        sizes = np.array([len(x) for x in split], np.int64)
+        pieces = list(itertools.chain.from_iterable(split))
+        at = np.fromiter(map(self.at.get, pieces, itertools.repeat(NEW)), np.int64, len(pieces))
+        new = np.flatnonzero(at == NEW)
+        if len(new):
+            self.learn(list(dict.fromkeys(map(pieces.__getitem__, new.tolist()))))
+            at[new] = np.fromiter(map(self.at.__getitem__, map(pieces.__getitem__, new.tolist())), np.int64, len(new))
+        first = np.cumsum(sizes) - sizes
+        odd = np.zeros(len(docs), bool)
+        odd[np.searchsorted(first + sizes, np.flatnonzero(at == NO_PIECE), side="right")] = True
+        own = np.repeat(odd, sizes)
+        self.hits += np.bincount(at[~own], minlength=len(self.hits))
+        ids, some = self._of(at[~own])
+        n = np.zeros(len(at), np.int64)
+        n[~own] = some
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        counts = bounds[first + sizes] - bounds[first]
+        if odd.any():
+            cuts = np.concatenate([[0], np.cumsum(counts)])
+            parts = [self.whole(d) if o else ids[cuts[i] : cuts[i + 1]] for i, (d, o) in enumerate(zip(docs, odd, strict=True))]
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, counts
 
 
 def _encoder(path: str) -> Encoder:
@@ -145,11 +218,13 @@ def _tokenize(tokenizer: str, end_id: int, folder: str):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    c = np.zeros(0, np.int64)
     for batch in batches:
-        for counts in batch.column("counts").to_pylist():
-            c = np.frombuffer(counts, np.int64)
-            ids = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c[ids])], ["token", "n"])
+        for i in range(batch.num_rows):
+            more = np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
+            c = c + more if len(c) else more
+    ids = np.flatnonzero(c)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c[ids])], ["token", "n"])
 
 
 def _code(folder: str, lens: bytes, narrow: bool):
@@ -242,13 +317,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
     raw = new_path(spark, "ids")
     files = written(dealt.mapInArrow(_tokenize(tokenizer, end_id, raw), FILES + ", counts binary"), "id-files")
-    counts = files.select("counts").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    n = max(1, files.count())
+    some = files.select("counts").repartition(math.isqrt(n - 1) + 1)
+    counts = some.mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     table = np.zeros(max((r["token"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         table[r["token"]] = r["n"]
     lens = lengths(table, max(max_bits, int(np.ceil(np.log2(max(2, len(counts)))))))
     narrow = _encoder(tokenizer).size <= 1 << 16
-    n = max(1, files.count())
     coded = files.drop("counts").repartition(n).mapInArrow(_code(new_path(spark, "tokens"), lens.tobytes(), narrow), FILES)
     coded = written(coded, "token-files")
     remove(spark, raw)
