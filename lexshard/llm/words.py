@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-MEMO = 500_000
+MEMO = 200_000
 #: ASCII letters lower-cased, other ASCII characters but digits as spaces; other bytes stay.
 _ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _TEXT_WORD = re.compile(r"\w+")
