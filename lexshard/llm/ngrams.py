@@ -46,7 +46,8 @@ class Vocabulary:
 
 
 def vocabulary(docs: DataFrame, split: Callable[[bytes], list], least: int = 2, most: int = MAX_WORDS) -> Vocabulary:
-    """The most frequent words of docs.text that occur ``least`` times, ties in byte order."""
+    """The most frequent words of docs.text that occur ``least`` times. Of words of one count, all or none are in it, so that
+    no task has to name the best of its own: what comes to the driver is the vocabulary and a row for each count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +57,14 @@ def vocabulary(docs: DataFrame, split: Callable[[bytes], list], least: int = 2,
             yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     words = written(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(min(most, MAX_WORDS)).collect()  # bounded: MAX_WORDS
-    return Vocabulary({bytes(r["word"]): i + 2 for i, r in enumerate(top)}, max(1, words.count() - len(top)))
+    room, cut = min(most, MAX_WORDS), None
+    for r in sorted(words.filter(F.col("n") >= least).groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        if r["count"] > room:
+            break
+        room, cut = room - r["count"], r["n"]
+    top = words.filter(F.col("n") >= cut).collect() if cut is not None else []  # bounded: MAX_WORDS
+    top = sorted((-r["n"], bytes(r["word"])) for r in top)
+    return Vocabulary({w: i + 2 for i, (_, w) in enumerate(top)}, max(1, words.count() - len(top)))
 
 
 def encode(docs: list[bytes], split: Callable[[bytes], list], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
