@@ -156,3 +156,20 @@ def test_pipeline(spark):
         ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2], "<u4")
         want[(r["doc_id"], len(ids), zlib.crc32(ids.tobytes()))] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()) == want
+
+
+def test_words_beyond_16_bits_are_scored(spark):
+    """70,000 words that occur twice each: none is unknown, so texts of the target and others differ by their pairs."""
+    words = [f"v{i:05d}" for i in range(70_000)]
+    rows = [(k, " ".join(words[i : i + 1_000])) for k, i in enumerate([*range(0, 70_000, 1_000)] * 2)]
+    target = spark.createDataFrame([(k,) for k in range(0, 140, 2)], "trusted long")
+    ids, _ = vocab([t for _, t in rows], lower_words)
+    assert len(ids) == 70_000
+    back = Plain(sequences([t for _, t in rows], lower_words, ids), len(ids) + 2)
+    goal = Plain(sequences([t for k, t in rows if k % 2 == 0], lower_words, ids), len(ids) + 2)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), target).collect()}
+    assert len(got) == len(rows)
+    for k in (0, 1, 69, 139):
+        s = sequences([rows[k][1]], lower_words, ids)[0]
+        want = sum(math.log(back.p(v, w)) - math.log(goal.p(v, w)) for v, w in zip(s, s[1:], strict=False)) / (len(s) - 1)
+        assert abs(got[k] - want) < 1e-6
