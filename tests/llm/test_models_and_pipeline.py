@@ -173,3 +173,18 @@ def test_words_beyond_16_bits_are_scored(spark):
         s = sequences([rows[k][1]], lower_words, ids)[0]
         want = sum(math.log(back.p(v, w)) - math.log(goal.p(v, w)) for v, w in zip(s, s[1:], strict=False)) / (len(s) - 1)
         assert abs(got[k] - want) < 1e-6
+
+
+def test_rare_languages_have_their_own_threshold(spark):
+    """Trusted texts: 1,600 in one language and four in another, of words of their own; none in a third."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(12)), "en") for i in range(1_600)]
+    rows += [(i, " ".join(f"x{i}y{k}" for k in range(12)), "xx") for i in range(2_000, 2_024)]
+    rows += [(i, " ".join(f"z{i}y{k}" for k in range(12)), "yy") for i in range(3_000, 3_005)]
+    trusted = [i for i, _, lang in rows if lang == "en"]
+    order = spark.createDataFrame([(i,) for i in range(2_000, 2_024)], "t long").selectExpr("t", "pmod(xxhash64('sample', t), 2) = 1 AS held")
+    trusted += [r["t"] for r in order.collect() if r["held"]][:4]
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    limits = {lang: {r["threshold"] for r in got if r["lang"] == lang} for lang in ("en", "xx", "yy")}
+    assert max(limits["en"]) < min(r["perplexity"] for r in got if r["lang"] == "xx") <= max(limits["xx"]) < math.inf
+    assert limits["yy"] == {math.inf} and all(r["keep"] for r in got if r["lang"] != "en")
