@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import re
 import struct
 import uuid
 import zlib
@@ -44,18 +45,21 @@ class Encoder:
 
     Where the file is a byte-level BPE without a normalizer, its splitting rule never joins characters across a single
     space or around a single line feed between other characters. So such pieces of a text are tokenized by the library once
-    and remembered. Texts with other white space, and all texts under other tokenizers, go to the library whole.
+    and remembered. Texts with other white space or with the text of an added token, and all texts under other tokenizers,
+    go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         t = self.tokenizer
         rule = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer else {}
         self.by_piece = type(t.model).__name__ == "BPE" and t.normalizer is None and t.post_processor is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
+        added = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.by_piece = self.by_piece and not any(c.isspace() or c == "\0" for a in added for c in a)
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.at, self.flat = self.marks(), np.empty(0, np.uint32)
         self.ends, self.hits = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -138,7 +142,7 @@ class Encoder:
         if len(self.at) > MEMO:
             self.forget()
         # A piece stands for a space and itself, one that begins a text (after \0) or a line (after \n) for itself.
-        split = [[] if not d else [""] if "\0" in d else ("\0" + d).replace("\n", " \n").split(" ") for d in docs]
+        split = [[] if not d else [""] if "\0" in d or self.added.search(d) else ("\0" + d).replace("\n", " \n").split(" ") for d in docs]
         sizes = np.array([len(x) for x in split], np.int64)
         pieces = list(itertools.chain.from_iterable(split))
         at = np.fromiter(map(self.at.get, pieces, itertools.repeat(NEW)), np.int64, len(pieces))

@@ -63,6 +63,16 @@ def test_pieces_tokenize_as_the_library(docs):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_are_as_in_the_file():
+    from tokenizers import Tokenizer
+
+    docs = ["see <|endoftext|> here", "<|endoftext|>", "no such", "a<|endoftext|>b\nc <|endoftext|><|endoftext|>", "<|endoftext| >", "see here"]
+    ids, n = tokens._encoder(PATH).encode(docs)
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(docs, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert want[0] == [3826, 220, 50256, 994]
+
+
 def test_forgetting_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 50)
     encoder = tokens.Encoder(PATH)
