@@ -124,9 +124,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back. A gap is an error."""
     pages = _table(spark, sf_dir, "pages")
-    back = warc.read(warc.write(pages)).filter("gap IS NULL")
+    gap = F.raise_error(F.concat(F.lit("a gap in "), "path", F.lit(" at "), F.col("start").cast("string"), F.lit(": "), "gap"))
+    back = warc.read(warc.write(pages)).filter(F.when(F.col("gap").isNull(), True).otherwise(gap.cast("boolean")))
     kind = pages.schema["page_id"].dataType
     return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 

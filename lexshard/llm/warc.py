@@ -33,7 +33,6 @@ VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAX_HEAD = 1 << 16
 
 
 def _digest(block: bytes) -> str:
@@ -73,7 +72,7 @@ class Bad(ValueError):
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record at the start of data. Bad: a check failed."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/1.") or end < 0:
         raise Bad("no version line or no end of the headers")
     head = {}
@@ -137,11 +136,10 @@ def _member_at(data: _Bytes, at: int) -> tuple[bytes, int]:
 
 
 def _plain_at(data: _Bytes, at: int) -> tuple[bytes, int]:
-    head = data.get(at, MAX_HEAD)
-    end = head.find(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1.") or end < 0:
+    if data.get(at, 7) != b"WARC/1." or (end := data.find(b"\r\n\r\n", at) - at) >= data.size - at:
         raise Bad("no version line or no end of the headers")
-    length = next((x.partition(b":")[2].strip() for x in head[:end].split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+    head = data.get(at, end)
+    length = next((x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
     if not length.isdigit() or at + end + 8 + int(length) > data.size:
         raise Bad("the content length is wrong or the record is cut off")
     return data.get(at, end + 8 + int(length)), at + end + 8 + int(length)

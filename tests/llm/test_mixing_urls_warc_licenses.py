@@ -121,6 +121,23 @@ def test_warc_null_ids(spark):
     assert got == [("2", "response", None), ("None", "response", None), ("None", "response", None), ("None", "revisit", "2")]
 
 
+def test_warc_long_urls(spark, tmp_path):
+    urls = ["data:," + "a" * 70_000, "http://x/" + "\u00e9" * 12_000, "u"]
+    pages = spark.createDataFrame([(i, u, f"page {i} " * 20) for i, u in enumerate([*urls, urls[0]])] + [(9, "v", "page 0 " * 20)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    same(queries.op10_warc(spark, str(tmp_path)), views(pages=pages), queries.OP10_SQL)
+    for packed in (True, False):
+        made = [warc.record(i, u, b"x", hashlib.sha256(b"x").hexdigest()) for i, u in enumerate(urls)]
+        assert salvaged(b"".join(warc.member(r) if packed else r for r in made)) == (["0", "1", "2"], [])
+
+
+def test_op10_fails_on_a_gap(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "read", lambda archives: spark.createDataFrame([("p", 0, 5, "cut", None)], "path string, start long, end long, gap string, page_id string").selectExpr("*", "0L payload_bytes", "'' payload_digest", "'' record_type", "string(null) refers_to"))
+    with pytest.raises(Exception, match="a gap in p at 0: cut"):
+        queries.op10_warc(spark, str(tmp_path)).collect()
+
+
 def records(n, packed=True):
     made = [warc.record(i, f"http://x/{i}", os.urandom(50) + b"WARC/1.1 inside" + bytes([i]), hashlib.sha256(b"").hexdigest()) for i in range(n)]
     return [warc.member(r) if packed else r for r in made]
