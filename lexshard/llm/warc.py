@@ -1,8 +1,10 @@
 """WARC archives: writing pages with revisit records, and a reader that salvages what damaged archives still hold.
 
-A record is written as a gzip member of its own. The reader checks each member and record (gzip's checksum, the version
-line, the content length, the block digest). Where a check fails, it goes on at the next place where a valid member, or in
-an archive without compression a version line, begins, and logs the bytes in between as a quarantined gap.
+A record is written as a gzip member of its own; members of other archives may hold many. The reader checks each member and
+record (gzip's checksum, the version line, the content length, the block digest). Where a check fails, it goes on at the
+next version line, in a packed archive within what the member holds and then at the next member, and logs what is in between
+as a quarantined gap. Records before the place where a member is cut off are kept, and those of a damaged member whose own
+digest is right.
 
 Tasks write to new names in the shared folder and return these names; only names that a finished task returned are read,
 so what a lost or repeated task left behind is never seen.
@@ -28,6 +30,8 @@ LEAST = 100
 #: A new archive is begun beyond so many bytes.
 ROTATE = 64 << 20
 CHUNK = 1 << 20
+#: A member of so many bytes at most is unpacked once, a larger one twice.
+HELD = 16 << 20
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -70,25 +74,31 @@ class Bad(ValueError):
     """A check failed."""
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of data. Bad: a check failed."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(b"WARC/1.") or end < 0:
+class Short(Bad):
+    """A check failed that more bytes could pass."""
+
+
+def parse(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record at a place in data, and its end. Bad: a check failed."""
+    if data[at : at + 7] != b"WARC/1."[: len(data) - at]:
         raise Bad("no version line or no end of the headers")
+    if (end := data.find(b"\r\n\r\n", at)) < 0:
+        raise Short("no version line or no end of the headers")
     head = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Bad("a header without a colon")
         head[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not (length := head.get("content-length", "")).isdigit():
         raise Bad("no content length")
-    block = data[end + 4 : end + 4 + int(length)]
-    if len(block) < int(length) or data[end + 4 + int(length) :][:4] != b"\r\n\r\n":
-        raise Bad("the content length is wrong or the record is cut off")
+    stop = end + 4 + int(length)
+    if (after := data[stop : stop + 4]) != b"\r\n\r\n":
+        raise (Short if b"\r\n\r\n".startswith(after) else Bad)("the content length is wrong or the record is cut off")
+    block = bytes(data[end + 4 : stop])
     if (said := head.get("warc-block-digest", "")).startswith("sha256:") and said != _digest(block):
         raise Bad("the block digest is wrong")
-    return head, block, end + 8 + int(length)
+    return head, block, stop + 4
 
 
 class _Bytes:
@@ -118,21 +128,78 @@ class _Bytes:
         return self.size
 
 
-def _member_at(data: _Bytes, at: int) -> tuple[bytes, int]:
-    """The member at a place, unpacked, and its end. Bad: it fails a check."""
-    if data.get(at, 3) != MAGIC:
-        raise Bad("no gzip member")
-    unpack, out, place = zlib.decompressobj(31), [], at
-    try:
+class _Member:
+    """The member at a place, unpacked piece by piece; after them its end, and what is wrong with it, if anything."""
+
+    def __init__(self, data: _Bytes, at: int):
+        self.data, self.at, self.end, self.wrong, self.cut = data, at, at, "", False
+
+    def __iter__(self) -> Iterator[bytes]:
+        unpack, self.end = zlib.decompressobj(31), self.at
         while not unpack.eof:
-            part = data.get(place, 1 << 16)
+            part = self.data.get(self.end, 1 << 16)
             if not part:
-                raise Bad("the member is cut off")
-            out.append(unpack.decompress(part))
-            place += len(part)
-    except zlib.error as e:
-        raise Bad(f"the member is damaged: {e}") from None
-    return b"".join(out), place - len(unpack.unused_data)
+                self.wrong, self.cut = "the member is cut off", True
+                return
+            before = unpack.copy()
+            try:
+                out = unpack.decompress(part)
+            except zlib.error as e:
+                self.wrong = f"the member is damaged: {e}"
+                yield from self._until_error(before, part)
+                return
+            yield out
+            self.end += len(part)
+        self.end -= len(unpack.unused_data)
+
+    @staticmethod
+    def _until_error(unpack, part: bytes) -> Iterator[bytes]:
+        for i in range(len(part)):
+            try:
+                out = unpack.decompress(part[i : i + 1])
+            except zlib.error:
+                return
+            yield out
+
+
+def _inside(pieces: Iterator[bytes], sure: bool) -> Iterator[tuple]:
+    """(headers, block) of a member's records and (reason, None) for what is between them. Unless sure of its bytes, only
+    records with a digest that is right."""
+    held, at, bad, pieces = bytearray(), 0, "", iter(pieces)
+
+    def more() -> bool:
+        nonlocal at
+        for piece in pieces:
+            if piece:
+                del held[:at]
+                at = 0
+                held.extend(piece)
+                return True
+        return False
+
+    while at < len(held) or more():
+        try:
+            head, block, end = parse(held, at)
+            if not sure and not head.get("warc-block-digest", "").startswith("sha256:"):
+                raise Bad("the member is damaged and the record has no digest")
+        except Bad as e:
+            if isinstance(e, Short) and more():
+                continue
+            bad, at = bad or str(e), at + 1
+            while (i := held.find(b"WARC/1.", at)) < 0:
+                at = max(at, len(held) - 6)
+                if not more():
+                    i = len(held)
+                    break
+            at = i
+            continue
+        if bad:
+            yield bad, None
+            bad = ""
+        yield head, block
+        at = end
+    if bad:
+        yield bad, None
 
 
 def _plain_at(data: _Bytes, at: int) -> tuple[bytes, int]:
@@ -145,19 +212,61 @@ def _plain_at(data: _Bytes, at: int) -> tuple[bytes, int]:
     return data.get(at, end + 8 + int(length)), at + end + 8 + int(length)
 
 
-def salvage(file, size: int) -> Iterator[tuple]:
-    """("record", start, end, headers, block) and ("gap", start, end, reason, None), in the file's order, all its bytes."""
-    data, at, gap, why = _Bytes(file, size), 0, -1, ""
-    packed = data.get(0, 3) == MAGIC or data.find(b"WARC/1.", 0) > data.find(MAGIC, 0)
-    while at < size:
+def _packed(data: _Bytes) -> Iterator[tuple]:
+    at, gap, why = 0, -1, ""
+    while at < data.size:
+        if data.get(at, 3) != MAGIC:
+            gap, why = (at, "no gzip member") if gap < 0 else (gap, why)
+            at = data.find(MAGIC, at + 1)
+            continue
+        member, kept, size = _Member(data, at), [], 0
+        for piece in member:  # once to the end, to know if it is whole; a large one isn't held
+            size += len(piece)
+            if size <= HELD:
+                kept.append(piece)
+            else:
+                kept.clear()
+        end, wrong = member.end, member.wrong
+        last = None
+        for item in _inside(iter(kept) if size <= HELD else iter(_Member(data, at)), not wrong or member.cut):
+            if item[1] is None and last is None and gap >= 0:
+                continue  # the gap goes on
+            if gap >= 0:
+                yield "gap", gap, at, why, None
+                gap = -1
+            if last is not None:
+                yield _item(last, at, at)
+            last = item
+        if wrong:
+            if last is not None and last[1] is not None:
+                yield _item(last, at, at)
+            gap, why = (at, wrong) if gap < 0 else (gap, why)
+            at = data.find(MAGIC, at + 1)
+            continue
+        if last is not None and last[1] is not None:
+            yield _item(last, at, end)
+        elif gap < 0:
+            gap, why = at, last[0] if last else "the member is empty"
+        at = end
+    if gap >= 0:
+        yield "gap", gap, data.size, why, None
+
+
+def _item(item: tuple, start: int, end: int) -> tuple:
+    return ("gap", start, end, item[0], None) if item[1] is None else ("record", start, end, *item)
+
+
+def _plain(data: _Bytes) -> Iterator[tuple]:
+    at, gap, why = 0, -1, ""
+    while at < data.size:
         try:
-            raw, end = (_member_at if packed else _plain_at)(data, at)
+            raw, end = _plain_at(data, at)
             head, block, used = parse(raw)
             if used != len(raw):
                 raise Bad("there are bytes after the record")
         except Bad as e:
             gap, why = (at, str(e)) if gap < 0 else (gap, why)
-            at = data.find(MAGIC if packed else b"WARC/1.", at + 1)
+            at = data.find(b"WARC/1.", at + 1)
             continue
         if gap >= 0:
             yield "gap", gap, at, why, None
@@ -165,7 +274,17 @@ def salvage(file, size: int) -> Iterator[tuple]:
         yield "record", at, end, head, block
         at = end
     if gap >= 0:
-        yield "gap", gap, size, why, None
+        yield "gap", gap, data.size, why, None
+
+
+def salvage(file, size: int) -> Iterator[tuple]:
+    """("record", start, end, headers, block) and ("gap", start, end, reason, None), in the file's order, all its bytes.
+
+    What shares a gzip member begins where the member does; the last of it has the member's bytes, the others none.
+    """
+    data = _Bytes(file, size)
+    packed = data.get(0, 3) == MAGIC or data.find(b"WARC/1.", 0) > data.find(MAGIC, 0)
+    yield from (_packed if packed else _plain)(data)
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
@@ -231,7 +350,7 @@ def read(archives: DataFrame) -> DataFrame:
                             length = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0")
                             digest = head.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
                             held.append({"path": path, "start": start, "end": end, "page_id": head.get("warc-page-id"), "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"), "refers_to": head.get("warc-refers-to-page-id"), "payload_digest": digest, "payload_bytes": int(length) if revisit else len(payload), "payload": None if revisit else payload})
-                        size += end - start
+                        size += max(end - start, len(block or b""))
                         if len(held) >= 2_000 or size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0

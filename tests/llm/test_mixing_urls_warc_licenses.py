@@ -170,6 +170,31 @@ def test_salvage(packed):
         assert b"".join(gzip.decompress(p) for p in parts) == gzip.decompress(whole)
 
 
+@pytest.mark.parametrize("held", [0, 16 << 20])
+def test_salvage_of_members_with_many_records(monkeypatch, held):
+    monkeypatch.setattr(warc, "HELD", held)
+    plain = records(6, False)
+    whole, two = warc.member(b"".join(plain)), [warc.member(plain[i] + plain[i + 1]) for i in (0, 2, 4)]
+    assert salvaged(whole) == ([str(i) for i in range(6)], [])
+    assert salvaged(b"".join(two)) == ([str(i) for i in range(6)], [])
+    # A record that is wrong inside a whole member: the others are there, and a gap.
+    wrong = [p if i != 2 else p.replace(b"inside", b"INSIDE") for i, p in enumerate(plain)]
+    kept, gaps = salvaged(warc.member(b"".join(wrong)))
+    assert kept == ["0", "1", "3", "4", "5"] and len(gaps) == 1
+    assert salvaged(warc.member(b"".join(plain) + b"more"))[0] == [str(i) for i in range(6)]
+    # Cut off or damaged: what was before that place is kept, and members after it.
+    large = [warc.record(i, "u", os.urandom(100_000), hashlib.sha256(b"").hexdigest()) for i in range(5)]
+    packed = warc.member(b"".join(large))
+    assert salvaged(packed[: len(packed) * 7 // 10])[0] == ["0", "1", "2"]
+    cut = packed[: len(packed) * 7 // 10] + two[0]
+    kept, gaps = salvaged(cut)
+    assert kept[:3] == ["0", "1", "2"] and kept[-2:] == ["0", "1"] and len(gaps) == 1
+    damaged = bytearray(packed)
+    damaged[len(packed) // 2] ^= 0xFF
+    kept, gaps = salvaged(bytes(damaged) + two[1])
+    assert kept[:2] == ["0", "1"] and kept[-2:] == ["2", "3"] and "2" not in kept[:-2] and gaps
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     starts, labels = [], set()
