@@ -1,13 +1,16 @@
 """Tables and files in the folder that the driver and all executors share.
 
-The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a folder of our
-own is made. Python tasks reach it through ``pyarrow.fs``, so it may be any store that pyarrow can open.
+The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one process, as in
+local tests, a folder of our own is made; elsewhere that is an error, as machines don't see each other's folders. Python tasks reach it through ``pyarrow.fs``, so it may be any store that pyarrow can open.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="lexshard-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -25,7 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/lexshard/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexshard/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.add(path)
+    return path
+
+
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes, and folders that new_path() names, inside are removed at the end, whatever happens, but
+    for those that are kept()."""
+    outer, _open.paths = getattr(_open, "paths", None), set()
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            remove(spark, path)
+        _open.paths = outer
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """A table of written() that outlives the innermost scratch(), to be removed by the one around it."""
+    _open.paths.discard(table.written_to)
+    return table
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ Words are hashed to 64 bits; each task remembers the hashes of the words that it
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable
 
@@ -47,6 +48,7 @@ class _Memo(dict):
 
 
 _memo = _Memo()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 
 
 def hashes(words: Iterable) -> np.ndarray:
@@ -54,6 +56,14 @@ def hashes(words: Iterable) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), np.uint64)
 
 
+def tidy() -> None:
+    """Give memory back at the end of a task: Spark keeps the worker for tasks of other stages."""
+    _memo.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column of strings, null as empty."""
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
