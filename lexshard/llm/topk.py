@@ -5,23 +5,27 @@ A query's scores are never formed row by row: the bitmaps that its weights call
 by word for 64 rows at a time, into the slices of the score. The top rows are then selected from the most significant slice
 downward; rows that tie at the boundary are taken by the smaller id. Scores are exact, so no candidate is lost.
 
-Tiles of rows meet tiles of queries (a stated set of queries against all rows); each pair gives at most k rows a query.
+Tiles of rows meet tiles of queries (a stated set of queries against all rows); each pair gives at most k rows a query. A
+tile's index is built once for all queries of their tile.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE_ROWS, TILE_QUERIES = 4096, 256
+#: Rows of a tile, which has an index of its own, and queries that go through an index before it is built again.
+TILE_ROWS, TILE_QUERIES = 4096, 16_384
 #: Fixed value of the query's contract.
 SCALE = 256
-#: Integers beyond this aren't indexed.
-LARGEST = 1 << 31
+#: Integers below this are held in 64 bits, beyond in Python's integers, which have no bound.
+LARGEST = 1 << 52
 
 
 class Slices:
@@ -30,12 +34,11 @@ class Slices:
     def __init__(self, x: np.ndarray):
         self.rows = len(x)
         width = -(-self.rows // 64) * 64
-        self.low = int(x.min(initial=0))
-        plus = (x - self.low).astype(np.uint64)
-        self.bits = max(1, int(plus.max(initial=0)).bit_length())
-        padded = np.zeros((width, x.shape[1]), np.uint64)
-        padded[: self.rows] = plus
-        bit = lambda i: np.ascontiguousarray(((padded >> np.uint64(i)) & np.uint64(1)).astype(np.uint8).T)
+        self.low = min(0, int(x.min(initial=0)))
+        self.bits = max(1, (int(x.max(initial=0)) - self.low).bit_length())
+        padded = np.zeros((width, x.shape[1]), x.dtype)
+        padded[: self.rows] = x - self.low
+        bit = lambda i: np.ascontiguousarray(((padded >> i) & 1).astype(np.uint8).T)
         planes = [np.ascontiguousarray(np.packbits(bit(i), axis=1, bitorder="little")).view(np.uint64) for i in range(self.bits)]
         self.maps = np.stack(planes, axis=1)  # attribute, bit, words
         self.valid = np.packbits(np.arange(width) < self.rows, bitorder="little").view(np.uint64)
@@ -46,7 +49,7 @@ class Slices:
         size = np.abs(q)
         for bit in range(int(size.max(initial=0)).bit_length()):
             for sign in (1, -1):
-                at = np.flatnonzero(((size >> bit) & 1 == 1) & (np.sign(q) == sign))
+                at = np.flatnonzero(((size >> bit) & 1 == 1) & ((q > 0) == (sign > 0)))
                 if len(at):
                     maps = self.maps[at] if sign > 0 else ~self.maps[at]
                     for i in range(self.bits):
@@ -69,7 +72,7 @@ class Slices:
                 del levels[level + 1]
             level += 1
         most = (1 << self.bits) - 1
-        plus, minus = int(q[q > 0].sum()), int(-q[q < 0].sum())
+        plus, minus = sum(v for v in q.tolist() if v > 0), -sum(v for v in q.tolist() if v < 0)
         return out, self.low * plus - (self.low + most) * minus
 
     def top(self, q: np.ndarray, k: int, leave_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +93,9 @@ class Slices:
                 sure, n_sure = sure | ones, n_sure + n
                 tied, n_tied = tied & ~s, n_tied - n
         rows = np.concatenate([_places(sure), _places(tied)[: max(0, k - n_sure)]])
-        score = np.full(len(rows), constant, np.int64)
+        score = np.full(len(rows), constant, object)  # Python's integers
         for w, s in enumerate(slices):
-            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
+            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(object) << w
         return rows, score
 
 
@@ -100,57 +103,61 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _stacked(column: pd.Series) -> np.ndarray:
-    rows = [np.asarray(v, np.int64) for v in column]
-    x = np.zeros((len(rows), max((len(r) for r in rows), default=0)), np.int64)
-    for i, r in enumerate(rows):
+def _stacked(column: pd.Series, scale: int) -> np.ndarray:
+    """floor(scale * x) as a matrix, shorter rows with 0 at their ends; of Python's integers where some are large."""
+    x = np.zeros((len(column), max(map(len, column), default=0)))
+    for i, r in enumerate(column):
         x[i, : len(r)] = r
-    return x
+    if np.abs(x).max(initial=0) * scale < LARGEST:
+        return np.floor(x * scale).astype(np.int64)
+    return np.array([[math.floor(Fraction(v) * scale) for v in r] for r in x.tolist()], object).reshape(x.shape)
 
 
-def _tile(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _tile(k: int, scale: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(queries):
             rows = rows.sort_values("id", kind="stable", ignore_index=True)
-            x, q = _stacked(rows["vec"]), _stacked(queries["vec"])
+            x, q = _stacked(rows["vec"], scale), _stacked(queries["vec"], scale)
             wide = max(x.shape[1], q.shape[1])
             x, q = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, q))
             ids, index = rows["id"].to_numpy(), Slices(x)
             for own, v in zip(queries["id"].to_numpy(), q, strict=True):
                 at, score = index.top(v, k, np.arange(*np.searchsorted(ids, [own, own + 1])))
+                if len(score) and max(abs(s) for s in score) >= 1 << 63:
+                    raise OverflowError(f"the scores of query {own} don't fit 64 bits")
                 out += zip([own] * len(at), ids[at].tolist(), score.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return search
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(id, vec) with vec as floor(scale * x); only vectors all whose components are finite, and rows with an id."""
-    x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * scale))
-    fine = F.forall(F.col(vec_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < float(LARGEST)))
-    kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col)).filter(F.col("id").isNotNull() & F.col(vec_col).isNotNull())
-    return kept.filter(fine).select("id", x.alias("vec"))
+def finite(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec) of rows with an id, and a vector all of whose components are finite; vec in doubles."""
+    vec = F.col(vec_col).cast("array<double>")
+    fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """The k best rows for each query row (id divisible by ``every``): query_id, rank (from 1), vec_id, score.
 
-    Components are floor(256 * x); the score is the inner product of these integers. Ties go to the smaller id; all rows but
-    those with the query's own id are candidates, and all are returned if there are fewer than k.
+    Components are floor(scale * x); the score is the inner product of these integers. Ties go to the smaller id; all rows
+    but those with the query's own id are candidates, and all are returned if there are fewer than k.
 
-    Null vectors, and those with null, non-finite or huge (256 * x of 2^31 and more) components, take no part, nor do rows
-    with a null id. A shorter vector lacks components as if they were 0; an empty one scores 0. Repeated rows are candidates
-    each; queries with one id are one query, of different vectors the greatest. An empty table gives no rows. Other columns
-    take no part.
+    Null vectors, and those with null or non-finite components, take no part, nor do rows with a null id. Components may be
+    as large as doubles are; a best score that doesn't fit 64 bits is an error. A shorter vector lacks components as if they
+    were 0; an empty one scores 0. Repeated rows are candidates each; queries with one id are one query, of different vectors
+    the greatest. An empty table gives no rows. Other columns take no part.
     """
-    rows = quantised(vectors, id_col, vec_col)
+    rows = finite(vectors, id_col, vec_col)
     queries = rows.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.max("vec").alias("vec"))
     n, m = rows.agg(F.count("*"), F.count_if(F.pmod("id", F.lit(every)) == 0)).first()
     tiles, parts = max(1, -(-n // TILE_ROWS)), max(1, -(-m // TILE_QUERIES))
     nth = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    a = rows.select(F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), nth(parts).alias("part"), "id", "vec")
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")  # by row: an id may repeat
+    a = rows.withColumn("tile", own).select("tile", nth(parts).alias("part"), "id", "vec")
     b = queries.select(nth(tiles).alias("tile"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vec")
-    found = a.groupBy("tile", "part").cogroup(b.groupBy("tile", "part")).applyInPandas(_tile(k), "query_id long, vec_id long, score long")
+    found = a.groupBy("tile", "part").cogroup(b.groupBy("tile", "part")).applyInPandas(_tile(k, scale), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
