@@ -5,9 +5,10 @@ order of their keys, the documents of a source are a weighted sample without rep
 A source whose target is e times its size and r words more gives e complete epochs, and then documents in the order of
 their keys until r words are taken; the document at the boundary gives the words that are left.
 
-No source is sorted as a whole: keys fall into ``buckets`` equal parts of their range, word counts are summed for each
-(source, bucket), and only the bucket with a source's boundary is ordered. A source with a third of all rows costs no more
-than any other: its buckets are summed map-side, and its boundary bucket holds about 1/buckets of it.
+No source is sorted as a whole: keys fall into ``buckets`` parts of their range, word counts are summed for each (source,
+bucket), and only the bucket with a source's boundary is looked into: it is cut into as many parts again until it has few
+rows, and these are ordered. So a source with a third of all rows costs no more than any other, however its keys lie: its
+buckets are summed map-side, and one task orders ORDERED rows at most, but for rows of one and the same key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: Fixed values of the query's contract.
 WEIGHTS = (5, 2, 1)
@@ -26,11 +27,10 @@ MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Marks that lower a document's weight.
 MARKS = "!|#$%&*<>{}"
-#: Sources that the driver plans for; a mix names its sources, so there are few.
-MAX_SOURCES = 1_000_000
-#: Up to so many sources, their plan (under 100 bytes a source) is broadcast.
+#: Up to so many sources, their plan (under 100 bytes a source) is broadcast. The driver holds it: a mix names its sources.
 BROADCAST_SOURCES = 10_000
-OWN = ("__size", "__weight", "__digest", "__key", "__bucket")
+#: Rows of a source that are ordered in one task.
+ORDERED = 50_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -57,60 +57,85 @@ def targets(sizes: Sequence[int], weights: Sequence[int] = WEIGHTS, max_epochs:
     return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, seed: int, buckets: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, row: bool = False) -> DataFrame:
+    """source, id, size, digest, key of each row; with row, all its columns in one. No name of docs is among the others'."""
     text = F.col(text_col)
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))).cast("binary"))
-    u = (F.conv(F.substring("__digest", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    return (
-        docs.withColumn("__size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-        .withColumn("__weight", quality_weight(text, F.col("__size")))
-        .withColumn("__digest", digest)
-        .withColumn("__key", -F.log(u) / F.col("__weight"))
-        .withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-    )
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    kept = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if row else []
+    out = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), size.alias("size"), digest.alias("digest"), text.alias("text"), *kept)
+    u = (F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    return out.withColumn("key", -F.log(u) / quality_weight(F.col("text"), F.col("size"))).drop("text")
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with the plan of their sources; null is a source too."""
+    plan = plan.withColumnRenamed("source", "of")
     small = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
-    return rows.join(small, rows[source_col].eqNullSafe(small["__source"])).drop("__source")
+    return rows.join(small, rows["source"].eqNullSafe(small["of"])).drop("of")
 
 
-def _plan(light: DataFrame, source_col: str, weights: Sequence[int], max_epochs: int) -> DataFrame:
-    """For each source: its size and target, complete epochs, words left, and the bucket in which these end."""
+_PLAN = "source_size long, target double, epochs long, left long, low double, high double, before long"
+
+
+def _ends(rows: DataFrame, plan: list[tuple], kind: str, buckets: int, place: Column) -> dict:
+    """For each source with a boundary among rows: the least and the greatest key of its bucket, the words before it, and its
+    rows. place: a row's bucket."""
+    spark = rows.sparkSession
+    given = spark.createDataFrame(plan, f"source {kind}, {_PLAN}")
+    sums = _with_plan(rows, given).withColumn("at", place.cast("int")).groupBy("source", "at")
+    sums = sums.agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), F.first("left").alias("left"), F.first("before").alias("so_far"))
+    sums = written(sums, "mix-buckets")  # a row for each source and bucket
+    before = F.col("so_far") + F.sum("words").over(Window.partitionBy("source").orderBy("at")) - F.col("words")
+    hit = sums.withColumn("begin", before).filter((F.col("begin") <= F.col("left")) & (F.col("begin") + F.col("words") > F.col("left")))
+    out = {r["source"]: (r["least"], r["most"], r["begin"], r["n"]) for r in hit.select("source", "least", "most", "begin", "n").collect()}
+    discard(sums)
+    return out
+
+
+def _plan(light: DataFrame, weights: Sequence[int], max_epochs: int, buckets: int) -> DataFrame:
+    """For each source: its size and target, complete epochs, words left, the keys between which these end, and the words
+    before these keys. A row a source is on the driver."""
     spark = light.sparkSession
-    sums = written(light.groupBy(F.col(source_col).alias("__source"), "__bucket").agg(F.sum("__size").alias("__words")), "mix-buckets")
-    sizes = sums.groupBy("__source").agg(F.sum("__words").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    kind = light.schema["source"].dataType.simpleString()
+    sizes = light.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sizes.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be") if isinstance(r[0], str) or r[0] is None else r[0]))
-    rows = []
-    for r, target in zip(sizes, targets([r["size"] for r in sizes], weights, max_epochs), strict=True):
+    rows = {}
+    for r, target in zip(sizes, targets([r["n"] for r in sizes], weights, max_epochs), strict=True):
         whole = math.floor(target + 0.5)
-        epochs = whole // r["size"] if r["size"] else 0
-        rows.append((r[0], r["size"], target, epochs, whole - epochs * r["size"]))
-    kind = light.schema[source_col].dataType.simpleString()
-    plan = spark.createDataFrame(rows, f"__source {kind}, __source_size long, __target double, __epochs long, __left long")
-    before = F.sum("__words").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__words")
-    ends = (
-        sums.withColumn("__before", before)
-        .withColumnRenamed("__source", "__s")
-        .join(F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan, F.col("__s").eqNullSafe(F.col("__source")))
-        .filter((F.col("__before") <= F.col("__left")) & (F.col("__before") + F.col("__words") > F.col("__left")))
-        .select(F.col("__s").alias("__e"), F.col("__bucket").alias("__end"), "__before")
-    )
-    plan = plan.join(ends, F.col("__source").eqNullSafe(F.col("__e")), "left").drop("__e")
-    return written(plan.fillna({"__end": -1, "__before": 0}).coalesce(1), "mix-plan")  # a row for each source
-
-
-def _at_the_boundary(rows: DataFrame, source_col: str, id_col: str) -> DataFrame:
-    before = F.sum("__size").over(Window.partitionBy(source_col).orderBy("__key", id_col, "__digest").rowsBetween(Window.unboundedPreceding, -1))
-    room = F.col("__left") - F.col("__before") - F.coalesce(before, F.lit(0))
-    return rows.withColumn("__taken", F.col("__epochs") * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), room)))
+        epochs = whole // r["n"] if r["n"] else 0
+        # Keys below low are taken once more; without a boundary, none are.
+        rows[r["source"]] = (r["n"], target, epochs, whole - epochs * r["n"], -1.0, -1.0, 0)
+    if rows:
+        first = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1))
+        within = F.least(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))
+        open_ = _ends(light, [(s, *p) for s, p in rows.items()], kind, buckets, first)
+        while True:
+            for s, (low, high, before, _) in open_.items():
+                rows[s] = (*rows[s][:4], low, high, before)
+            more = [s for s, (low, high, _, n) in open_.items() if n > ORDERED and low < high]
+            if not more:
+                break
+            inside = light.filter(F.col("key").between(min(open_[s][0] for s in more), max(open_[s][1] for s in more)))
+            plan = spark.createDataFrame([(s, *rows[s]) for s in more], f"source {kind}, {_PLAN}")
+            inside = _with_plan(inside, plan).filter(F.col("key").between(F.col("low"), F.col("high"))).select(*light.columns)
+            found = _ends(inside, [(s, *rows[s]) for s in more], kind, buckets, within)
+            open_ = {s: found[s] for s in more if (found[s][0], found[s][1]) != open_[s][:2]}  # else it can't be cut further
+    return written(spark.createDataFrame([(s, *p) for s, p in rows.items()], f"source {kind}, {_PLAN}").coalesce(1), "mix-plan")
+
+
+def _at_the_boundary(rows: DataFrame) -> DataFrame:
+    before = F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    room = F.col("left") - F.col("before") - F.coalesce(before, F.lit(0))
+    return rows.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), room)))
 
 
 def _away_from_it(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("__taken", (F.col("__epochs") + F.when(F.col("__bucket") < F.col("__end"), 1).otherwise(0)) * F.col("__size"))
+    return rows.withColumn("taken", (F.col("epochs") + F.when(F.col("key") < F.col("low"), 1).otherwise(0)) * F.col("size"))
+
+
+def _at_end() -> Column:
+    return F.col("key").between(F.col("low"), F.col("high"))
 
 
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, buckets: int = 4096) -> DataFrame:
@@ -124,30 +149,23 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     their own: of equal ones at the boundary, any gives the words that are left. Equal keys go by id, then by digest. An
     empty table gives an empty one. Other columns of docs take no part, so their names can't clash.
     """
-    docs = docs.select(id_col, text_col, source_col)
-    light = written(_keyed(docs, id_col, text_col, seed, buckets).select(id_col, source_col, *OWN), "mix-keys")
-    rows = _with_plan(light, _plan(light, source_col, weights, max_epochs), source_col)
-    at_end = F.col("__bucket") == F.col("__end")
-    both = _away_from_it(rows.filter(~at_end)).unionByName(_at_the_boundary(rows.filter(at_end), source_col, id_col))
-    return both.select(id_col, source_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    light = written(_keyed(docs, id_col, text_col, source_col, seed), "mix-keys")
+    rows = _with_plan(light, _plan(light, weights, max_epochs, buckets))
+    both = _away_from_it(rows.filter(~_at_end())).unionByName(_at_the_boundary(rows.filter(_at_end())))
+    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, buckets: int = 4096) -> DataFrame:
     """The mix itself: rows of docs, as often as draw() takes them; the document at a boundary stays whole and comes once
-    more if at least half of it is taken. Documents of size 0 don't come. Texts aren't shuffled, but for the boundary
-    buckets'. Nulls, ties and repeated rows: as for draw()."""
-    names = docs.columns
-    keyed = _keyed(docs, id_col, text_col, seed, buckets)
-    light = written(keyed.select(id_col, source_col, *OWN), "mix-keys")
-    plan = _plan(light, source_col, weights, max_epochs)
-    at_end = F.col("__bucket") == F.col("__end")
-    nth = F.row_number().over(Window.partitionBy("__digest").orderBy("__size"))
-    ends = _at_the_boundary(_with_plan(light, plan, source_col).filter(at_end), source_col, id_col)
-    ends = ends.select(F.col("__digest").alias("__d"), F.row_number().over(Window.partitionBy("__digest").orderBy("__taken")).alias("__n"), "__taken")
-    rows = _with_plan(keyed, plan, source_col)
-    there = rows.filter(at_end).withColumn("__nth", nth)
-    there = there.join(ends, (there["__digest"] == ends["__d"]) & (there["__nth"] == ends["__n"]))
-    cols = [*names, "__size", "__taken"]
-    both = _away_from_it(rows.filter(~at_end)).select(*cols).unionByName(there.select(*cols))
-    copies = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).filter(F.col("__copy") > 0).select(*names)
+    more if at least half of it is taken. Documents of size 0 don't come. Texts aren't shuffled, but for those between the
+    keys of a boundary. Columns of any name stay. Nulls, ties and repeated rows: as for draw()."""
+    light = written(_keyed(docs, id_col, text_col, source_col, seed), "mix-keys")
+    plan = _plan(light, weights, max_epochs, buckets)
+    ends = _at_the_boundary(_with_plan(light, plan).filter(_at_end()))
+    ends = ends.select(F.col("digest").alias("d"), F.col("source").alias("s"), F.row_number().over(Window.partitionBy("digest", "source").orderBy("taken")).alias("n"), "taken")
+    rows = _with_plan(_keyed(docs, id_col, text_col, source_col, seed, row=True), plan)
+    there = rows.filter(_at_end()).withColumn("nth", F.row_number().over(Window.partitionBy("digest", "source").orderBy("size")))
+    there = there.join(ends, (there["digest"] == ends["d"]) & there["source"].eqNullSafe(ends["s"]) & (there["nth"] == ends["n"]))
+    both = _away_from_it(rows.filter(~_at_end())).select("row", "size", "taken").unionByName(there.select("row", "size", "taken"))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return both.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
