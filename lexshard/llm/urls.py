@@ -1,17 +1,21 @@
 """URL filters: policy rules on hosts and paths, and association rules mined by FP-growth from labelled URLs.
 
 A URL's tokens are the labels and suffixes of its host, the segments of its path and the keys of its query, digits masked.
-Frequent combinations of tokens that imply a bad label, pruned by support and confidence, are the rules of the method.
-They match by an inverted index from token to rule: a rule fits where all its tokens are found. Tokens are matched once for
-each distinct set of tokens, so a host with a third of all pages is matched once. Only DataFrame functions are used.
+FP-growth mines the combinations of tokens that are frequent among URLs with a bad label; their counts over all labelled
+URLs give confidences. Pruned by support and confidence, and where a part of a rule is as confident, they are the rules of
+the method. They match by an inverted index from token to rule: a rule fits where all its tokens are found. Tokens are
+matched once for each distinct set of tokens, so a host with a third of all pages is matched once. Tokens that always come
+together in labelled URLs are one item, as they are in the same rules: so the tokens of a template can't multiply into
+combinations. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -23,11 +27,10 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-#: Policy rules stand in the plan; beyond so many they would not.
-MAX_RULES = 5_000
-#: Mined rules are broadcast if there are so many at most (under 1 KB each), joined by a shuffle otherwise.
+#: Policy rules stand in the plan up to so many; more are joined, by host.
+PLAN_RULES = 5_000
+#: Mined rules and policy rules are broadcast if there are so many at most (under 1 KB each), joined by a shuffle otherwise.
 BROADCAST_RULES = 10_000
-BAD = "label:bad"
 
 
 def host(url: Column) -> Column:
@@ -58,46 +61,88 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(part("host:", suffixes(host(url))), part("path:", F.split(path(url), "/")), part("key:", keys), part("scheme:", scheme))))
 
 
-def policy(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """struct(size, host, rule, verdict) of the longest rule that fits, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} policy rules")
+_POLICY = "struct<size:int,host:string,rule:string,verdict:string>"
+
+
+def _longest(found: Column, path_col: Column) -> Column:
+    return F.array_max(F.filter(found, lambda r: F.startswith(path_col, F.substring(r["rule"], F.length(r["host"]) + 1, F.lit(1 << 30)))))
+
+
+def policy(rows: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """rows (host, path and others) with ``by``: struct(size, host, rule, verdict) of the longest rule that fits, or null."""
+    if not rules:
+        return rows.withColumn("by", F.lit(None).cast(_POLICY))
+    if len(rules) > PLAN_RULES:
+        table = rows.sparkSession.createDataFrame([(len(r), r.partition("/")[0], r, v) for r, v in rules], "size int, host string, rule string, verdict string")
+        table = _small(table.select(F.struct("size", "host", "rule", "verdict").alias("r")))
+        above = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("suffix"))
+        found = above.join(table, F.col("suffix") == F.col("r.host")).groupBy(F.col("host").alias("h")).agg(F.collect_list("r").alias("found"))  # rules of one host
+        found = _small(written(found, "url-policy"))
+        return rows.join(found, F.col("host") == F.col("h"), "left").withColumn("by", _longest(F.col("found"), F.col("path"))).drop("h", "found")
     by: dict[str, list[Column]] = {}
     for rule, verdict in rules:
         at = rule.partition("/")[0]
         by.setdefault(at, []).append(F.struct(F.lit(len(rule)).alias("size"), F.lit(at).alias("host"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")))
-    if not by:
-        return F.lit(None).cast("struct<size:int,host:string,rule:string,verdict:string>")
     table = F.create_map(*[x for at, found in by.items() for x in (F.lit(at), F.array(*found))])
-    found = F.flatten(F.filter(F.transform(suffixes(host_col), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull()))
-    return F.array_max(F.filter(found, lambda r: F.startswith(path_col, F.substring(r["rule"], F.length(r["host"]) + 1, F.lit(1 << 30)))))
+    found = F.flatten(F.filter(F.transform(suffixes(F.col("host")), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull()))
+    return rows.withColumn("by", _longest(found, F.col("path")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 4, min_count: int = 25) -> DataFrame:
-    """(rule_id, tokens, confidence, support) of combinations that imply a bad label. labelled: tokens array, bad boolean.
-    A rule holds for min_support of the labelled rows and for min_count of them at least. No labelled rows: no rules."""
-    spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    items = written(labelled.filter(F.col("bad").isNotNull()).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "url-transactions")
-    if not (n := items.count()):
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    return written(found.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-rules")
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else df
+
+
+def _items(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tokens, items): the items of distinct sets of tokens; a set without items has no row."""
+    sets = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    return sets.join(_small(classes), "token").groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def _fits(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(items, rule_id and all else of the rule): the rules that fit sets of items, by an inverted index."""
+    index = rules.select("rule_id", F.size("rule").alias("size"), F.explode("rule").alias("item"))
+    hits = sets.select("items").distinct().select("items", F.explode("items").alias("item")).join(_small(index), "item")
+    fits = hits.groupBy("items", "rule_id", "size").count().filter(F.col("count") == F.col("size")).select("items", "rule_id")
+    return fits.join(_small(rules), "rule_id")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(rule_id, rule, confidence, support), and (token, item). labelled: tokens array, bad boolean. A rule's items are found
+    in at least min_support of the labelled rows, and in min_count of them, with a bad label. Items are tokens, one for all
+    that are in the same labelled rows. No labelled rows: no rules."""
+    spark = labelled.sparkSession
+    rows = written(labelled.filter(F.col("bad").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "url-labelled")
+    n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    need = max(min_count, math.ceil(min_support * n))
+    in_rows = rows.select(F.explode("tokens").alias("token"), F.xxhash64("row").alias("h"), "bad").groupBy("token")
+    tokens_ = in_rows.agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count_if("bad").alias("n_bad")).filter(F.col("n_bad") >= need)
+    one = tokens_.groupBy("n", "x", "s").agg(F.min("token").alias("item"))
+    classes = written(tokens_.join(one, ["n", "x", "s"]).select("token", "item"), "url-items")
+    if n_bad < need or classes.isEmpty():
+        return spark.createDataFrame([], "rule_id long, rule array<string>, confidence double, support double"), classes
+    sets = written(rows.join(_items(rows, classes), "tokens").groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")), "url-sets")
+    bad = sets.filter("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("n_bad").cast("int"))))
+    # Rows without a frequent token aren't transactions here.
+    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / sets.agg(F.sum("n_bad")).first()[0])).fit(bad).freqItemsets
+    frequent = written(frequent.select(F.array_sort("items").alias("rule"), F.col("freq").alias("hits")).withColumn("rule_id", F.xxhash64("rule")), "url-frequent")
+    seen = sets.join(_fits(sets, frequent), "items").groupBy("rule_id").agg(F.sum("n").alias("n"), F.first("rule").alias("rule"), F.first("hits").alias("hits"))
+    sure = seen.select("rule_id", "rule", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support")).filter(F.col("confidence") >= min_confidence)
+    sure = written(sure, "url-sure")
+    parts = sure.select(F.col("rule_id").alias("part"), F.col("rule").alias("of"), F.col("confidence").alias("as_sure"))
+    within = sure.select(F.col("rule").alias("items"), F.col("rule_id").alias("whole"), F.col("confidence").alias("own"))
+    within = within.join(_fits(within, parts.select(F.col("part").alias("rule_id"), F.col("of").alias("rule"), "as_sure")), "items")
+    needless = within.filter((F.col("rule_id") != F.col("whole")) & (F.col("as_sure") >= F.col("own"))).select(F.col("whole").alias("rule_id")).distinct()
+    return written(sure.join(needless, "rule_id", "left_anti"), "url-rules"), classes
+
+
+def matched(pages: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """(tokens, rule_id, confidence): for each distinct set of tokens in pages, the most confident rule that fits."""
-    sets = pages.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        index = F.broadcast(index)
-    fits = sets.join(index, "token").groupBy("tokens", "rule_id", "confidence", "size").count().filter(F.col("count") == F.col("size"))
-    return fits.groupBy("tokens").agg(F.max(F.struct("confidence", "rule_id")).alias("best")).select("tokens", "best.rule_id", "best.confidence")
+    sets = _items(pages, classes)
+    best = _fits(sets, rules).groupBy("items").agg(F.max(F.struct("confidence", "rule_id")).alias("best"))
+    return sets.join(best, "items").select("tokens", "best.rule_id", "best.confidence")
 
 
-def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 25) -> DataFrame:
     """id, host, path, rule, verdict, confidence of each page; confidence is that of the mined rule, or null.
 
     labels has doc_id, quality and toxic; the number after the last / of a path names the document. A document is bad if one
@@ -114,9 +159,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     named = rows.select(F.when(number != "", number.cast("long")).alias("doc"), "tokens").filter(F.col("doc").isNotNull())
     said = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     bad = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col("doc_id").alias("doc")).agg(F.max(said).alias("bad"))
-    fits = matched(rows, mine(named.join(bad, "doc"), min_support, min_confidence))
-    hit = written(fits, "url-hits")
-    small = hit.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    out = rows.join(F.broadcast(hit) if small else hit, "tokens", "left").withColumn("by", policy(F.col("host"), F.col("path"), rules))
+    mined = mine(named.join(bad, "doc").select("tokens", "bad"), min_support, min_confidence, min_count)
+    hit = _small(written(matched(rows, *mined), "url-hits"))
+    out = policy(rows.join(hit, "tokens", "left"), rules)
     verdict = F.coalesce("by.verdict", F.when(F.col("rule_id").isNotNull(), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), "confidence")
