@@ -5,29 +5,37 @@
    are laid, for each length of the items that have a shingle found there, at every place around it, and get their SimHash
    from running sums over the shingles' bits: all windows that could be verified, and no others.
 3. Multi-index Hamming: fingerprints are cut into blocks; two within ``radius`` bits differ by at most radius // blocks in
-   one of the blocks, so looking up each block's neighbours in a table gives every item within the radius.
+   one of the blocks. For each length and block, an item is listed under all values that near its own, so a window's
+   candidates are the lists of its eight values, whatever the number of items, and every item within the radius is in one.
 4. A candidate is verified by the exact weighted similarity of its shingles: the sum of least counts over that of greatest.
 
-Benchmarks are small beside documents: items are broadcast up to MAX_ITEM_WORDS words; more are taken in that many parts.
+Items are indexed in parts of about PART_WORDS words, each a file of the shared folder that Spark's tasks write and read. A
+task goes through its documents once, GROUP_BYTES of text at a time, and through all parts for each; so there is one scan of
+the documents for any number of items, and no list of items on the driver.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import grams, hashes, mix64, text_words, texts
+from .shared import new_path, open_fs, written
+from .words import grams, hashes, mix64, text_words, texts, tidy
 
 K = 5
 BITS, BLOCKS, RADIUS = 64, 8, 22
-#: Words of all items that a task holds at a time (about 100 bytes a word).
-MAX_ITEM_WORDS = 200_000
+#: Words of a part's items, about, and bytes of text that go through all parts together.
+PART_WORDS, GROUP_BYTES = 200_000, 16 << 20
+#: Windows and items that are compared at a time.
+COMPARED = 1 << 20
 
 
 def shingle_list(h: np.ndarray, k: int = K) -> np.ndarray:
@@ -58,9 +66,9 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Items by shingle, and their fingerprints by block."""
+    """Items by shingle, and their fingerprints by length and block."""
 
-    def __init__(self, items: list[tuple[object, bytes]], k: int = K, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, bytes]], k: int = K, radius: int = RADIUS):
         self.k, self.radius = k, radius
         self.ids, self.sizes, self.counts = [], [], []
         prints, by_shingle = [], {}
@@ -76,27 +84,36 @@ class Index:
             self.counts.append(Counter(x.tolist()))
             prints.append(simhash(x))
         self.prints = np.array(prints, np.uint64)
-        self.item_sizes = np.array(self.sizes, np.int64)
         self.shingles = np.array(sorted(by_shingle), np.uint64)
         self.lengths = [sorted(by_shingle[s]) for s in self.shingles.tolist()]
         self.short = sorted({n for n in self.sizes if n < k})
-        near = [sum(1 << b for b in flips) for r in range(radius // BLOCKS + 1) for flips in itertools.combinations(range(BITS // BLOCKS), r)]
-        self.tables = np.zeros((BLOCKS, 1 << (BITS // BLOCKS), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            block = (self.prints >> np.uint64(b * BITS // BLOCKS)).astype(np.int64) & 0xFF
-            for flip in near:
-                self.tables[b, block ^ flip, np.arange(len(self.ids))] = True
+        self.lists = {n: self._listed(np.flatnonzero(np.array(self.sizes) == n)) for n in set(self.sizes)}
+
+    def _listed(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block and value, from one place to the next in the first array, the items under it in the second."""
+        near = np.array([sum(1 << b for b in flips) for r in range(self.radius // BLOCKS + 1) for flips in itertools.combinations(range(BITS // BLOCKS), r)])
+        block = self.prints[items, None] >> np.arange(0, BITS, BITS // BLOCKS, dtype=np.uint64) & np.uint64(0xFF)
+        key = (np.arange(BLOCKS)[None, :, None] << 8) | (block.astype(np.int64)[:, :, None] ^ near)
+        order = np.argsort(key.ravel(), kind="stable")
+        return np.searchsorted(key.ravel()[order], np.arange((BLOCKS << 8) + 1)), items[order // (BLOCKS * len(near))].astype(np.int32)
 
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item): all pairs within the radius, of items of a size."""
-        mine = np.flatnonzero(self.item_sizes == size)
-        some = np.zeros((len(prints), len(mine)), bool)
-        for b in range(BLOCKS):
-            block = ((prints >> np.uint64(b * BITS // BLOCKS)) & np.uint64(0xFF)).astype(np.int64)
-            some |= self.tables[b][:, mine][block]
-        w, i = np.nonzero(some)
-        ok = np.bitwise_count(prints[w] ^ self.prints[mine[i]]) <= self.radius
-        return w[ok], mine[i[ok]]
+        """(window, item), in order: all pairs within the radius, of items of a size."""
+        at, items = self.lists[size]
+        block = prints[:, None] >> np.arange(0, BITS, BITS // BLOCKS, dtype=np.uint64) & np.uint64(0xFF)
+        key = (np.arange(BLOCKS) << 8) | block.astype(np.int64)
+        n = at[key + 1] - at[key]
+        some = np.cumsum(n.sum(axis=1))
+        cuts = np.unique(np.searchsorted(some, np.arange(0, int(some[-1]) if len(some) else 0, COMPARED), side="right"))
+        found = []
+        for a, b in itertools.pairwise([*cuts.tolist(), len(prints)]):
+            own, begin = n[a:b].ravel(), at[key[a:b]].ravel()
+            w = np.repeat(np.repeat(np.arange(a, b), BLOCKS), own)
+            i = items[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+            ok = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.radius
+            found.append(np.unique((w[ok] << 32) | i[ok]))  # a pair may be near in several blocks
+        pairs = np.concatenate(found) if found else np.empty(0, np.int64)
+        return pairs >> 32, pairs & 0xFFFFFFFF
 
     def find(self, text: bytes, least: float) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window of each item in a text."""
@@ -149,17 +166,52 @@ def _runs(begin: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edges, edges[1:], strict=False)
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
-    """The items, no more than MAX_ITEM_WORDS words at a time."""
-    part, words = [], 0
-    for r in benchmark.select(item_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        n = len(text_words(r[1].encode()))
-        if part and words + n > MAX_ITEM_WORDS:
-            yield part
-            part, words = [], 0
-        part.append((r[0], r[1].encode()))
-        words += n
-    yield part
+def _built(folder: str, k: int, radius: int):
+    """A part's items as an index in a file."""
+
+    def build(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        index = Index(list(zip(table.column("row").to_pylist(), texts(table.column("text").combine_chunks()), strict=True)), k, radius)
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{part}-{pa.compute.min(table.column('row')).as_py()}", compression=None) as f:
+            pickle.dump(index, f)
+        return pa.table({"path": [f"{folder}/{part}-{pa.compute.min(table.column('row')).as_py()}"]})
+
+    return build
+
+
+def _index(benchmark: DataFrame, item_col: str, text_col: str, k: int, radius: int) -> tuple[DataFrame, list[str]]:
+    """(row, item) of the items, and the files of their index."""
+    spark = benchmark.sparkSession
+    items = written(benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()), "items")
+    words = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    parts = -(-words // PART_WORDS)
+    built = items.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(max(1, parts))).alias("part")).groupBy("part").applyInArrow(_built(new_path(spark, "item-index"), k, radius), "path string")
+    return items.select("row", "item"), [r["path"] for r in built.orderBy("path").collect()]  # a row for each part
+
+
+def _indexes(paths: list[str]) -> Iterator[Index]:
+    for p in paths:
+        if list(_kept) != [p]:
+            _kept.clear()
+            fs, at = open_fs(p)
+            with fs.open_input_file(at) as f:
+                _kept[p] = pickle.load(f)
+        yield _kept[p]
+
+
+_kept: dict[str, Index] = {}
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, about GROUP_BYTES of a column at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        each = max(1, int(batch.num_rows * GROUP_BYTES / max(1, batch.column(column).nbytes)))
+        for i in range(0, batch.num_rows, each):
+            yield batch.slice(i, each)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.8, k: int = K, radius: int = RADIUS) -> DataFrame:
@@ -172,42 +224,39 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows, ids and items give rows each. Empty tables give no rows. Other columns take no part.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    doc_type, item_type = (t[c].dataType.simpleString() for t, c in ((docs.schema, id_col), (benchmark.schema, item_col)))
-    out = None
-    for part in _parts(benchmark, item_col, item_text_col):
-        found = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(part), least, k, radius), f"id {doc_type}, item {item_type}, first_word long, n_words long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "first_word", "n_words", "similarity")
-
+    items, paths = _index(benchmark, item_col, item_text_col, k, radius)
 
-def _search(items, least: float, k: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value, k, radius)
-        kind = pa.array([i for i in index.ids if i is not None]).type if any(i is not None for i in index.ids) else pa.int64()
-        for batch in batches:
-            at, got = [], []
-            for i, t in enumerate(texts(batch.column("text"))):
-                for hit in index.find(t, least):
-                    at.append(i)
-                    got.append(hit)
-            cols = list(zip(*got, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array([index.ids[i] for i in cols[0]], kind), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], ["id", "item", "first_word", "n_words", "similarity"])
-
-    return search
+        for batch in _groups(batches, 1):
+            split = texts(batch.column("text"))
+            for index in _indexes(paths):
+                at, got = [], []
+                for i, t in enumerate(split):
+                    for item, *hit in index.find(t, least):
+                        at.append(i)
+                        got.append((index.ids[item], *hit))
+                cols = list(zip(*got, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.float64())], ["id", "row", "first_word", "n_words", "similarity"])
+        tidy()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = rows.mapInArrow(search, f"id {kind}, row long, first_word long, n_words long, similarity double")
+    return found.join(items, "row").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "first_word", "n_words", "similarity")
 
 
 def drop(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no benchmark item. Rows are judged where they are read, by
     the same search as find(); nothing is shuffled. Null and empty texts stay."""
-    names, out = docs.columns, docs
-    for part in _parts(benchmark, item_col, item_text_col):
-        items = docs.sparkSession.sparkContext.broadcast(part)
-
-        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items.value)
-            for batch in batches:
-                keep = pa.array([next(index.find(t, least), None) is None for t in texts(batch.column(names.index(text_col)))], pa.bool_())
-                yield batch.filter(keep)
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    column = docs.columns.index(text_col)
+    _, paths = _index(benchmark, item_col, item_text_col, K, RADIUS)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, column):
+            split, keep = texts(batch.column(column)), np.ones(batch.num_rows, bool)
+            for index in _indexes(paths):
+                for i in np.flatnonzero(keep).tolist():
+                    keep[i] = next(index.find(split[i], least), None) is None
+            yield batch.filter(pa.array(keep))
+        tidy()
+
+    return docs.mapInArrow(clean, docs.schema)
