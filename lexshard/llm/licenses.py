@@ -6,7 +6,7 @@ diagonal), neighbouring diagonals (words put in or left out) merged, and a merge
 the template's words and it is about as long as the template. A phrase counts where one diagonal holds all its words.
 
 Templates are a fixed list of this module or of the caller; their table has a row for each three words of them, so it is
-broadcast, and the texts' hashes never leave the task that reads the text.
+broadcast if that is small, as here, and the texts' hashes don't leave the task that reads the text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import alnum_words, batch_hashes, grams, hashes
+from .words import alnum_words, batch_hashes, grams, hashes, tidy
 
 #: Fixed values of the query's contract: phrases and their labels.
 PHRASES = (
@@ -46,19 +46,17 @@ COVER = 0.75
 #: Diagonals so near one another are merged.
 NEAR = 3
 _HERE = np.uint64(0)  # a hash that each text has once, so that texts without hits stay
-MAX_TEMPLATE_WORDS = 100_000
+#: The templates' table is broadcast up to so many rows (20 bytes each), and joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
 
 
 def _template_table(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]) -> list[tuple[int, int, int]]:
-    rows, words = [(int(_HERE), -1, 0)], 0
+    rows = [(int(_HERE), -1, 0)]
     for i, (text, _) in enumerate([*phrases, *templates]):
         split = alnum_words(text.encode())
-        words += len(split)
         if len(split) < K:
             raise ValueError(f"a template has {K} words at least: {text!r}")
         rows += [(int(g.astype(np.int64)), i, t) for t, g in enumerate(grams(hashes(split), K))]
-    if words > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {MAX_TEMPLATE_WORDS} words at most")
     return rows
 
 
@@ -72,6 +70,7 @@ def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum(1 + np.maximum(n - K + 1, 0), out=offsets[1:])
         values = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["row", "id", "n_words", "grams"])
+    tidy()
 
 
 def _spans(votes: list[tuple[int, list[int]]], size: int) -> Iterator[tuple[int, int, float]]:
@@ -103,9 +102,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     take no part, so their names can't clash.
     """
     spark = docs.sparkSession
-    table, known = _template_table(phrases, templates), [(label, len(t.split())) for t, label in [*phrases, *templates]]
+    table, known = _template_table(phrases, templates), [(label, len(alnum_words(t.encode()))) for t, label in [*phrases, *templates]]
     n_phrases = len(phrases)
-    index = F.broadcast(spark.createDataFrame(table, "hash long, template int, t int"))
+    index = spark.createDataFrame(table, "hash long, template int, t int")
+    if len(table) <= BROADCAST_ROWS:
+        index = F.broadcast(index)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     rolled = rows.mapInArrow(_rolling, f"row long, id {kind}, n_words long, grams array<long>")
