@@ -6,9 +6,10 @@
 3. A bucket's classes are linked to a pivot of it, one class at first to the pivot with which it shares most bands, never
    all to all. Links are checked by signature, then on the full sets. Rounds with other pivots follow for the buckets whose
    classes are not yet in one component.
-4. In what buckets are then still mixed, all pairs across components are compared by signature, in tiles, and those that
-   may be similar on their full sets, in the same task. So no link that joins two components is lost, and links alone
-   leave the task. Classes that have too many shingles of their own to be in such a link are left out before.
+4. In what buckets are then still mixed, all pairs across components are compared by signature, in tiles; pairs that may
+   be similar leave the task and are checked on their full sets. Classes that have too many shingles of their own to be in
+   such a link are left out before. A linked pair whose signatures disagree in more than SLACK allows is lost there, with
+   probability 1e-9 at a similarity of 0.8 and less above it; so is, before, one that shares no bucket.
 5. Components come from alternating large-star and small-star.
 """
 
@@ -18,21 +19,20 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, written
-from .words import grams, hashes, lower_words, mix64, texts
+from .shared import kept, scratch, written
+from .words import grams, hashes, lower_words, mix64, texts, tidy
 
 MINIMA, ROWS = 128, 4
 BANDS = MINIMA // ROWS
-#: Signatures that agree in fewer minima than this share below the threshold belong to pairs below it (4.8 deviations).
-SLACK = 0.17
+#: Signatures that agree in fewer minima than this share below the threshold belong to pairs below it (6.5 deviations).
+SLACK = 0.23
 #: Rounds of pivots before the comparison in tiles, and classes in a tile.
-ROUNDS, TILE = 3, 512
+ROUNDS, TILE = 3, 2048
 #: Class lists of up to so many rows (32 bytes each) are broadcast, larger ones joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 _seeds = np.random.default_rng(7).integers(0, 2**32, (2, MINIMA), dtype=np.uint32)
@@ -66,24 +66,23 @@ def _sketches(k: int, with_set: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                 cols += [pa.array([s.tobytes() for s in sets], pa.binary())] * with_set
                 own = [n for n in part.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in own] + cols, own + ["n", "digest", "sig", "shingles"][: len(cols)])
+        tidy()
 
     return sketch
 
 
 def _similar(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (u, v) whose signatures allow it and whose sets have 100 * intersection >= least * union."""
+    """Pairs (u, v) whose sets have 100 * intersection >= least * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for s, t, x, y in zip(*(batch.column(c).to_pylist() for c in ("sig_u", "sig_v", "set_u", "set_v")), strict=True):
-                agree = np.count_nonzero(np.frombuffer(s, np.uint32) == np.frombuffer(t, np.uint32))
-                if agree < (least / 100 - SLACK) * MINIMA:
-                    good.append(False)
-                    continue
-                good.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least))
+            for i in range(batch.num_rows):  # row by row, as sets are large
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_u", "set_v"))
+                good.append(_linked(x, y, least))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
+        tidy()
 
     return check
 
@@ -92,27 +91,26 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
 
 
-def _tile_links(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of a pair of tiles of a bucket, the links across components: pairs whose signatures may belong to similar sets, and
-    whose sets are similar. A pair that shares several buckets is looked at in that of its first band only."""
+def _tile_links(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a pair of tiles of a bucket, the pairs across components whose signatures may belong to similar sets. A pair that
+    shares several buckets is given in that of its first band only."""
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        band = int(rows["band"].iloc[0])
-        rows = rows.drop_duplicates(["cid", "side"])
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    def links(rows: pa.Table) -> pa.Table:
+        band, side = rows.column("band")[0].as_py(), rows.column("side").to_numpy()
+        cid, label, n = (rows.column(c).to_numpy() for c in ("cid", "label", "n"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
+        _, first = np.unique(np.stack([cid, side]), axis=1, return_index=True)
+        left, right = first[side[first] == 0], first[side[first] == 1]
         right = right if len(right) else left
-        out: list[tuple[int, int]] = []
-        if len(left):
-            a, b = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, MINIMA) for x in (left, right))
-            x, y = ([np.frombuffer(v, np.uint64) for v in side["shingles"]] for side in (left, right))
-            la, lb, ca, cb = left["label"].to_numpy(), right["label"].to_numpy(), left["cid"].to_numpy(), right["cid"].to_numpy()
-            ny = np.array([len(v) for v in y])
-            for i in range(len(a)):
-                fits = np.flatnonzero((lb != la[i]) & (100 * np.minimum(ny, len(x[i])) >= least * np.maximum(ny, len(x[i]))))
-                same = b[fits] == a[i]
-                fits = fits[(np.count_nonzero(same, axis=1) >= (least / 100 - SLACK) * MINIMA) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
-                out += [(ca[i], cb[j]) for j in fits if _linked(x[i], y[j], least)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        u, v = [], []
+        for i in left.tolist():
+            fits = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= least * np.maximum(n[right], n[i]))]
+            same = sig[fits] == sig[i]
+            near = np.count_nonzero(same, axis=1) >= (least / 100 - SLACK) * MINIMA
+            fits = fits[near][same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            u.append(np.full(len(fits), cid[i]))
+            v.append(cid[fits])
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for c, x in (("u", u), ("v", v))})
 
     return links
 
@@ -154,6 +152,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     are kept. Repeated rows are linked; as they share their id, all or none of them are kept. An empty table gives an
     empty one. Other columns of docs take no part.
     """
+    with scratch(docs.sparkSession):
+        return kept(_cluster(docs, id_col, text_col, k, least))
+
+
+def _cluster(docs: DataFrame, id_col: str, text_col: str, k: int, least: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketches(k, False), f"id {kind}, n long, digest binary, sig binary"), "sketches")
@@ -168,13 +171,15 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     # Signatures and full sets of the classes that share a bucket.
     need = written(labels.select("cid").join(classes.select("cid", "digest", "rep"), "cid").select("cid", F.col("digest").alias("of"), "rep"), "needed")
+    n_classes = need.count()
     reps = rows.join(_small(need), F.col("id").eqNullSafe(F.col("rep"))).select("cid", "of", "text")
     full = reps.mapInArrow(_sketches(k, True), "cid long, of binary, n long, digest binary, sig binary, shingles binary")
     full = written(full.filter(F.col("of") == F.col("digest")).select("cid", "sig", "shingles"), "sets")
-    discard(need)
+    if full.count() > n_classes:  # rows that are repeated with their ids gave their set each
+        full = written(full.groupBy("cid").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda c: full.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"set_{c}"))
+        side = lambda c: full.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
         return written(pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(_similar(least), "u long, v long"), "links")
 
     for at in range(ROUNDS):
@@ -194,7 +199,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     lone = full.select("cid", "shingles").join(held.select("cid"), "cid").mapInArrow(_exploded, "cid long, shingle long")
     lone = lone.groupBy("shingle").agg(F.count("*").alias("in"), F.min("cid").alias("cid")).filter("`in` = 1").groupBy("cid").agg(F.count("*").alias("lone"))
     can = held.join(lone, "cid", "left").filter((F.col("n") - F.coalesce("lone", F.lit(0))) * (100 + least) >= least * (F.col("n") + F.col("smallest")))
-    rest = written(rest.join(can.select("cid"), "cid").select("band", "bucket", "cid", "label"), "mixed")
+    rest = written(rest.join(can.select("cid"), "cid").select("band", "bucket", "cid", "label", "n"), "mixed")
 
     # A bucket's largest component meets the others in tiles, and these one another; members of one component don't meet.
     by_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
@@ -204,14 +209,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rest = rest.join(shape, "bucket")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     mine = lambda c: F.pmod(F.xxhash64(F.lit("tile"), "cid"), F.col(c)).cast("int")
-    cols = ("band", "bucket", "cid", "label")
+    cols = ("band", "bucket", "cid", "label", "n")
     mains, others = rest.filter("label = main"), rest.filter("label != main").withColumn("mine", mine("other_tiles"))
     met = mains.select(*cols, F.lit(0).alias("kind"), each("other_tiles").alias("i"), mine("main_tiles").alias("j"), F.lit(1).alias("side"))
     met = met.unionAll(others.select(*cols, F.lit(0).alias("kind"), F.col("mine").alias("i"), each("main_tiles").alias("j"), F.lit(0).alias("side")))
     apart = others.select(*cols, "mine", each("other_tiles").alias("other"))
     met = met.unionAll(apart.select(*cols, F.lit(1).alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side")))
-    across = met.join(full, "cid").groupBy("bucket", "kind", "i", "j").applyInPandas(_tile_links(least), "u long, v long")
-    labels = _relabelled(labels, written(across, "links"))
+    across = met.join(full.select("cid", "sig"), "cid").groupBy("bucket", "kind", "i", "j").applyInArrow(_tile_links(least), "u long, v long")
+    labels = _relabelled(labels, confirmed(written(across, "pairs")))
 
     least_id = classes.join(labels, "cid", "left").select("digest", "copies", "rep", "label").withColumn("alone", F.col("label").isNull())
     joined = least_id.filter("NOT alone").groupBy("label").agg(F.min("rep").alias("least"))
@@ -219,25 +224,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     named = written(named.unionByName(least_id.filter("alone AND copies > 1").select("digest", F.col("rep").alias("least"))), "components")
     out = sketch.select("id", "n", "digest").join(named, "digest", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
-    out = written(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
-    discard(sketch, classes, members, full, named)
-    return out
+    return written(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
 
 
 def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, but one for each component: that of the smallest id, and of repeated rows
-    (equal in id and text) one. Rows without words stay. Nulls and other cases: as for cluster()."""
-    key = lambda: (F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"))
+    (equal in id and text) one. Rows without words stay. Columns of any name stay. Nulls and other cases: as for cluster()."""
     light = cluster(docs, id_col, text_col, k, least)
-    gone = written(light.filter("NOT kept").select(F.col(id_col).alias("__id")).distinct(), "dropped")
-    same = lambda left, right: left[id_col].eqNullSafe(right["__id"])
-    gone_side = _small(gone)
-    left = docs.join(gone_side, same(docs, gone_side), "left_anti")
-    again = written(docs.filter(F.coalesce(F.trim(text_col), F.lit("")) != "").select(*key()).groupBy("__id", "__hash").count().filter("count > 1").select("__id", "__hash"), "repeated")
+    gone = _small(written(light.filter("NOT kept").select(F.col(id_col).alias("gone")).distinct(), "dropped"))
+    own = F.xxhash64(text_col).alias("hash")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), own)
+    left = rows.join(gone, rows["id"].eqNullSafe(gone["gone"]), "left_anti")
+    again = docs.filter(F.coalesce(F.trim(text_col), F.lit("")) != "").select(F.col(id_col).alias("of"), own.alias("as")).groupBy("of", "as").count()
+    again = written(again.filter("count > 1").select("of", "as"), "repeated")
     if again.isEmpty():
-        return left
+        return left.select("row.*")
     again = _small(again)
-    on = left[id_col].eqNullSafe(again["__id"]) & (F.xxhash64(left[text_col]) == again["__hash"])
-    nth = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
-    one = left.join(again, on, "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return left.join(again, on, "left_anti").unionByName(one)
+    on = left["id"].eqNullSafe(again["of"]) & (left["hash"] == again["as"])
+    one = left.join(again, on, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row"))  # combined before the shuffle
+    return left.join(again, on, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
