@@ -1,128 +1,144 @@
-"""Bigram models with interpolated modified Kneser-Ney smoothing (Chen and Goodman, 1998), counted and applied in shards.
+"""N-gram models with interpolated modified Kneser-Ney smoothing (Chen and Goodman, 1998), counted and applied in shards.
 
-A vocabulary of at most 65,534 words gives 16-bit ids; every other word is UNKNOWN, and so is a word that repeats the one
-before it, which fluent text hardly does. MARK stands before the first and after the last word of a text. The probability of
-UNKNOWN is shared evenly among the other words that the vocabulary's text had.
+The vocabulary is every word that the model's texts have ``least`` times; every other word is UNKNOWN, whose probability is
+shared evenly among the other words of these texts. MARK stands before the first and after the last word of a text. With
+``lone``, a word that repeats the one before it counts as UNKNOWN too, which fluent text hardly has.
 
 In back-off form the log probability of a text is a sum: for each word log p(w), for each context v log of its back-off
-weight, and for each pair that the model has a weight of its own. The first two are arrays as long as the vocabulary, which
-tasks hold. The pairs' weights are a table in shards of the pair's hash. Scoring packs the pairs of a block of texts by
-shard, joins them with the shards, and adds what each shard found to the block's texts again: no row for each pair and text,
-and no text is shuffled.
+weight, and for each longer gram that the model has a weight of its own (which holds its back-off weight as a context, too).
+The first two are arrays as long as the vocabulary, which tasks hold: 24 bytes a word, and a model's texts are a bounded
+sample. The grams' weights are files of the shared folder, a shard of the grams' keys each. Scoring packs the grams of a
+block of texts by shard, deals the packs to as many tasks as there are partitions, which read their shards' weights once,
+and adds what each shard found to the block's texts again: no row for each gram and text, and no text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .words import texts
+from .shared import new_path, open_fs, written
+from .words import batch_hashes, mix64, texts, tidy
 
-MAX_WORDS = 65_534
 UNKNOWN, MARK = 0, 1
-#: Texts and words of a block.
-BLOCK_TEXTS, BLOCK_WORDS = 4_000, 1 << 22
-_NONE = np.empty(0, np.uint32)
+#: Texts and bytes of a block, grams of a shard.
+BLOCK_TEXTS, BLOCK_BYTES = 4_000, 16 << 20
+SHARD_GRAMS = 125_000
+Split = Callable[[bytes], list]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers that are not negative, in as many bytes each as their largest takes, bytes of one weight together."""
+    head, planes = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, np.uint64)
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        head.append(struct.pack("<BQ", width, len(a)))
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return b"".join(head) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    sizes = [struct.unpack_from("<BQ", data, 1 + 9 * i) for i in range(data[0])]
+    raw = np.frombuffer(pa.decompress(data[1 + 9 * data[0] :], decompressed_size=sum(w * n for w, n in sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for width, n in sizes:
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = raw[at : at + width * n].reshape(width, n).T
+        out.append(a.view(np.uint64).ravel())
+        at += width * n
+    return out
 
 
 @dataclass
 class Vocabulary:
-    ids: dict[bytes, int]
+    hashes: np.ndarray  # of its words, sorted; a word's id is its place here and 2 more
     others: int  # words that are not in it, at least 1
 
     @property
     def size(self) -> int:
-        return len(self.ids) + 2
+        return len(self.hashes) + 2
 
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), UNKNOWN, np.uint32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at + 2, UNKNOWN).astype(np.uint32)
 
-def vocabulary(docs: DataFrame, split: Callable[[bytes], list], least: int = 2, most: int = MAX_WORDS) -> Vocabulary:
-    """The most frequent words of docs.text that occur ``least`` times. Of words of one count, all or none are in it, so that
-    no task has to name the best of its own: what comes to the driver is the vocabulary and a row for each count."""
+
+def vocabulary(docs: DataFrame, split: Split, least: int = 2) -> Vocabulary:
+    """The words of docs.text that occur ``least`` times; 8 bytes of each come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c: Counter[bytes] = Counter()
-            for t in texts(batch.column("text")):
-                c.update(split(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
-
-    words = written(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    room, cut = min(most, MAX_WORDS), None
-    for r in sorted(words.filter(F.col("n") >= least).groupBy("n").count().collect(), key=lambda r: -r["n"]):
-        if r["count"] > room:
-            break
-        room, cut = room - r["count"], r["n"]
-    top = words.filter(F.col("n") >= cut).collect() if cut is not None else []  # bounded: MAX_WORDS
-    top = sorted((-r["n"], bytes(r["word"])) for r in top)
-    return Vocabulary({w: i + 2 for i, (_, w) in enumerate(top)}, max(1, words.count() - len(top)))
-
-
-def encode(docs: list[bytes], split: Callable[[bytes], list], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+            h, _ = batch_hashes(batch.column("text"), split)
+            words, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+        tidy()
+
+    words = written(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    known = np.sort(words.filter(F.col("n") >= least).select("word").toArrow().column("word").to_numpy().view(np.uint64))
+    return Vocabulary(known, max(1, words.count() - len(known)))
+
+
+def encode(column: pa.Array, split: Split, words: Vocabulary, lone: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each between two MARKs, one after the other, and where each begins and the last ends."""
-    parts, ends = [], np.zeros(len(docs) + 1, np.int64)
-    get = ids.get
-    for i, t in enumerate(docs):
-        words = split(t)
-        x = np.empty(len(words) + 2, np.uint32)
-        x[0] = x[-1] = MARK
-        x[1:-1] = [get(w, UNKNOWN) for w in words]
-        inner = x[1:-1]
-        inner[1:][inner[1:] == inner[:-1]] = UNKNOWN
-        parts.append(x)
-        ends[i + 1] = ends[i] + len(x)
-    return (np.concatenate(parts) if parts else _NONE), ends
-
-
-def pair_counts(docs: DataFrame, split: Callable[[bytes], list], words: Vocabulary, flags: tuple[str, ...] = ()) -> DataFrame:
-    """(pair, n, and for each flag the count in texts that have it), summed over all texts. pair: v * 65536 + w."""
-    ids = docs.sparkSession.sparkContext.broadcast(words.ids)
+    h, ends = batch_hashes(column, split)
+    x = np.full(len(h) + 2 * (len(ends) - 1), MARK, np.uint32)
+    inner = np.ones(len(x), bool)
+    ends = ends + 2 * np.arange(len(ends))
+    inner[ends[:-1]] = inner[ends[1:] - 1] = False
+    x[inner] = words.ids(h)
+    if lone:
+        x[1:][(x[1:] == x[:-1]) & inner[1:] & inner[:-1]] = UNKNOWN
+    return x, ends
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, ends = encode(texts(batch.column("text")), split, ids.value)
-            inside = np.ones(max(0, len(x) - 1), bool)
-            inside[ends[1:-1] - 1] = False
-            pair = ((x[:-1] << np.uint32(16)) | x[1:])[inside] if len(x) else _NONE
-            keys, at, n = np.unique(pair, return_inverse=True, return_counts=True)
-            cols = [pa.array(keys.astype(np.int64)), pa.array(n)]
-            for f in flags:
-                has = np.repeat(np.array([bool(v) for v in batch.column(f).to_pylist()], bool), np.maximum(np.diff(ends) - 1, 0))
-                cols.append(pa.array(np.bincount(at, weights=has, minlength=len(keys)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(cols, ["pair", "n", *flags])
 
-    rows = docs.select("text", *flags).mapInArrow(count, ", ".join(f"{c} long" for c in ("pair", "n", *flags)))
-    return rows.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", *flags)])
+def _grams(x: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts' ids, grams of n words, a row each, and the texts that they are in."""
+    starts = np.concatenate([np.arange(a, max(a, b - n + 1)) for a, b in zip(ends, ends[1:], strict=False)]) if len(ends) > 1 else np.empty(0, np.int64)
+    doc = np.repeat(np.arange(len(ends) - 1), np.maximum(np.diff(ends) - n + 1, 0))
+    return x[starts.astype(np.int64)[:, None] + np.arange(n)], doc
 
 
-@dataclass
-class Model:
-    """log p(w) and log back-off weights by id, the discounts and totals for the weights of pairs."""
+def keys(grams: np.ndarray) -> np.ndarray:
+    """64-bit keys of grams: of two words exact, of more a hash."""
+    g = grams.astype(np.uint64)
+    key = (g[:, 0] << np.uint64(32)) | g[:, 1]
+    for i in range(2, g.shape[1]):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + g[:, i] + np.uint64(i)) | np.uint64(1 << 63)
+    return key
 
-    uni: np.ndarray
-    back: np.ndarray
-    total: np.ndarray
-    discounts: tuple[float, float, float]
 
-    def weight(self, pair: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log p(w | v) of counted pairs beyond what back-off gives; 0 where n is 0."""
-        v, w = pair >> 16, pair & 0xFFFF
-        d = np.array([0.0, *self.discounts])[np.minimum(n, 3)]
-        straight = np.maximum(n - d, 0) / np.maximum(self.total[v], 1)
-        backed = self.back[v] + self.uni[w]
-        return np.where(n > 0, np.log(straight + np.exp(backed)) - backed, 0.0)
+def gram_counts(docs: DataFrame, split: Split, words: Vocabulary, order: int, lone: bool) -> DataFrame:
+    """(gram array, c) of docs.text: grams of ``order`` words, and shorter ones that begin with MARK."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ends = encode(batch.column("text"), split, held.value, lone)
+            for n in range(2, order + 1):
+                grams, _ = _grams(x, ends, n)
+                if n < order:
+                    grams = grams[grams[:, 0] == MARK]
+                rows, c = np.unique(grams, axis=0, return_counts=True)
+                flat = pa.array(rows.astype(np.int32).ravel())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), flat), pa.array(c)], ["gram", "c"])
+        tidy()
+
+    return docs.select("text").mapInArrow(count, "gram array<int>, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney's, from the numbers of things counted once to four times; 0.5, 1, 1.5 where these don't give any."""
     if min(n1, n2, n3, n4) <= 0:
         return 0.5, 1.0, 1.5
@@ -131,147 +147,181 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(ds))  # type: ignore[return-value]
 
 
-def fit(pairs: DataFrame, words: Vocabulary, count: str = "n") -> Model:
-    """A model from counts of pairs. What comes to the driver is a row for each word of the vocabulary."""
-    used = pairs.select("pair", F.col(count).alias("c")).filter("c > 0").withColumn("v", F.shiftright("pair", 16)).withColumn("w", F.col("pair").bitwiseAND(0xFFFF))
-    times = lambda c, i: F.count(F.when(c == i, 1))
-    c = F.col("c")
-    d = _discounts(*used.agg(*[times(c, i) for i in (1, 2, 3, 4)]).first())
-    heads = used.groupBy("v").agg(F.sum("c").alias("total"), times(c, 1).alias("n1"), times(c, 2).alias("n2"), F.count(F.when(c > 2, 1)).alias("n3")).collect()
-    total, mass = np.zeros(words.size), np.zeros(words.size)
-    for r in heads:
-        total[r["v"]] = r["total"]
-        mass[r["v"]] = d[0] * r["n1"] + d[1] * r["n2"] + d[2] * r["n3"]
+def _discounted(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.greatest(F.lit(0.0), c - F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]))
+
+
+def _times(c: Column) -> list[Column]:
+    return [F.count_if(c == i) for i in (1, 2, 3, 4)]
+
+
+@dataclass
+class Model:
+    """log p(w) and log back-off weights by id; (gram, weight) of all longer grams that it has."""
+
+    uni: np.ndarray
+    back: np.ndarray
+    weights: DataFrame
+    order: int
+
+
+def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
+    """A model from gram_counts(). Grams below the highest order count their different predecessors, but for those that begin
+    with MARK, which have none. Two numbers for each word of the vocabulary come to the driver."""
+    c, n = F.col("c"), F.size("gram")
+    levels = {order: counts.filter(n == order)}
+    for k in range(order - 1, 0, -1):
+        before = levels[k + 1].groupBy(F.slice("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+        levels[k] = before.unionByName(counts.filter(n == k)) if k > 1 else before
     seen = np.zeros(words.size)
-    for r in used.groupBy("w").count().collect():
-        seen[r["w"]] = r["count"]
-    n = [int((seen == i).sum()) for i in (1, 2, 3, 4)]
-    e = np.array([0.0, *_discounts(*n)])[np.minimum(seen, 3).astype(int)]
+    got = levels[1].select(F.col("gram")[0].alias("w"), "c").toArrow()
+    seen[got.column("w").to_numpy()] = got.column("c").to_numpy()
+    e = np.array([0.0, *discounts(*[int((seen == i).sum()) for i in (1, 2, 3, 4)])])[np.minimum(seen, 3).astype(int)]
     all_seen = max(1.0, seen.sum())
     uni = np.maximum(seen - e, 0) / all_seen + (max(e.sum(), 1e-3) / all_seen if seen.any() else 1.0) / words.size
-    return Model(np.log(uni / uni.sum()), np.log(np.where(total > 0, np.maximum(mass, 1e-9) / np.maximum(total, 1), 1.0)), total, d)
+    uni = uni / uni.sum()
+    back, spark = np.ones(words.size), counts.sparkSession
+    low, weights = spark.createDataFrame(pa.table({"w": np.arange(words.size), "p": uni})).select(F.array(F.col("w").cast("int")).alias("tail"), F.col("p").alias("low")), None
+    for k in range(2, order + 1):
+        level = levels[k].withColumn("head", F.slice("gram", 1, k - 1)).withColumn("tail", F.slice("gram", 2, k - 1))
+        d = discounts(*levels[k].agg(*_times(c)).first())
+        heads = level.groupBy("head").agg(F.sum("c").alias("total"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2"), F.count_if(c > 2).alias("n3"))
+        gamma = F.greatest(F.lit(1e-9), d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
+        heads = written(heads.select("head", "total", gamma.alias("gamma")), "contexts")
+        if k == 2:
+            got = heads.select(F.col("head")[0].alias("v"), "gamma").toArrow()
+            back[got.column("v").to_numpy()] = got.column("gamma").to_numpy()
+        else:
+            own = heads.select(F.col("head").alias("gram"), F.log("gamma").alias("as_context"))
+            weights[k - 1] = weights[k - 1].join(own, "gram", "left").select("gram", (F.col("weight") + F.coalesce("as_context", F.lit(0.0))).alias("weight"))
+        backed = F.col("gamma") * F.col("low")
+        p = _discounted(c, d) / F.col("total") + backed
+        level = written(level.join(heads, "head").join(low, "tail").select("gram", p.alias("p"), (F.log(p) - F.log(backed)).alias("weight")), f"grams-{k}")
+        weights = (weights or {}) | {k: level.select("gram", "weight")}
+        low = level.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
+    every = weights[2]
+    for k in range(3, order + 1):
+        every = every.unionByName(weights[k])
+    return Model(np.log(uni), np.log(back), written(every, "weights"), order)
 
 
-def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(key) >> np.uint64(32)) % np.uint64(shards)
 
 
-def sharded(pairs: DataFrame, weigh: Callable[[pd.DataFrame], np.ndarray], shards: int) -> DataFrame:
-    """(shard, pairs, weights): the weights of all pairs, in sorted arrays, a row for each shard, empty ones too. A shard has
-    its share of the vocabulary's pairs, evenly by hash."""
-    spark = pairs.sparkSession
+def _stored(weights: DataFrame, folder: str, shards: int) -> None:
+    """Files of sorted keys and their weights, one for each shard that has any."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shard_of(b.column("pair").to_numpy(), shards).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(s), *b.columns], ["shard", *b.schema.names])
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pair")
-        return pd.DataFrame([(rows["shard"].iloc[0], rows["pair"].to_numpy(np.uint32).tobytes(), weigh(rows).astype(np.float32).tobytes())], columns=["shard", "pairs", "weights"])
-
-    schema = "shard int, pairs binary, weights binary"
-    kept = pairs.mapInArrow(own, "shard int, " + ", ".join(f"{n} {t}" for n, t in pairs.dtypes)).groupBy("shard").applyInPandas(pack, schema)
-    return written(spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(kept, "shard", "left"), "model")
-
-
-def score(docs: DataFrame, split: Callable[[bytes], list], words: Vocabulary, shards: int, weights: DataFrame, uni: np.ndarray, back: np.ndarray, unknown_after: np.ndarray, unknown_before: np.ndarray, unknown: float) -> DataFrame:
-    """docs' columns but text, n_words, and total: the sum over each text's words and its end of uni[word] + back[context],
-    the weights of its pairs, and ``unknown`` for each unknown word. unknown_after[v], unknown_before[w]: the weights of
-    pairs with UNKNOWN, which aren't shuffled."""
+            size = pa.compute.list_value_length(b.column("gram")).to_numpy()
+            key, flat, ends = np.empty(len(size), np.uint64), b.column("gram").flatten().to_numpy(), np.cumsum(size)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                key[at] = keys(flat[(ends[at] - n)[:, None] + np.arange(n)])
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), b.column("weight")], ["shard", "key", "weight"])
+
+    def save(table: pa.Table) -> pa.Table:
+        key, order = table.column("key").to_numpy().view(np.uint64), np.argsort(table.column("key").to_numpy().view(np.uint64))
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        shard = table.column("shard")[0].as_py()
+        with fs.open_output_stream(f"{base}/{shard}", compression=None) as f:  # the same bytes, if a task is repeated
+            f.write(struct.pack("<Q", len(key)) + key[order].tobytes() + table.column("weight").to_numpy()[order].astype(np.float32).tobytes())
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    rows = weights.mapInArrow(own, "shard int, key long, weight double")
+    rows.groupBy("shard").applyInArrow(save, "shard int").collect()  # a row for each shard
+
+
+def _load(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    fs, base = open_fs(folder)
+    try:
+        with fs.open_input_stream(f"{base}/{shard}", compression=None) as f:
+            (n,) = struct.unpack("<Q", f.read(8))
+            return np.frombuffer(f.read(8 * n), np.uint64), np.frombuffer(f.read(4 * n), np.float32)
+    except FileNotFoundError:  # no gram fell into it
+        return np.empty(0, np.uint64), np.empty(0, np.float32)
+
+
+def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone: bool) -> DataFrame:
+    """docs' columns but text, n_words, and total: the log probability of each text and its end."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((words.ids, uni, back, unknown_after, unknown_before))
+    odd = F.array_contains("gram", UNKNOWN) & (F.size("gram") == 2)
+    grams = model.weights.filter(~odd).count()
+    shards, folder = max(1, -(-grams // SHARD_GRAMS)), new_path(spark, "weights")
+    _stored(model.weights.filter(~odd), folder, shards)
+    # Pairs with UNKNOWN are two for each word at most, and many in a text: these weights are arrays, too.
+    after, before = np.zeros(words.size, np.float32), np.zeros(words.size, np.float32)
+    got = model.weights.filter(odd).select(F.col("gram")[0].alias("v"), F.col("gram")[1].alias("w"), "weight").toArrow()
+    v, w, x = (got.column(c).to_numpy() for c in ("v", "w", "weight"))
+    after[v[w == UNKNOWN]] = x[w == UNKNOWN]
+    before[w[w != UNKNOWN]] = x[w != UNKNOWN]
+    held = spark.sparkContext.broadcast((words, model.uni.astype(np.float32), model.back.astype(np.float32), after, before))
+    order, unknown = model.order, -math.log(words.others)
     own = [n for n in docs.columns if n != "text"]
     out_schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", n_words long, total double"
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, uni, back, after, before = held.value
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, uni, back, after, before = held.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            sizes = np.cumsum([len(t) for t in texts(batch.column("text"))]) // (4 * BLOCK_WORDS) + np.arange(batch.num_rows) // BLOCK_TEXTS
+            sizes = np.cumsum([len(t) for t in texts(batch.column("text"))]) // BLOCK_BYTES + np.arange(batch.num_rows) // BLOCK_TEXTS
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
-                x, ends = encode(texts(part.column("text")), split, ids)
-                doc = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(ends))
-                inside = np.ones(len(x) - 1, bool)
-                inside[ends[1:-1] - 1] = False
-                v, w, at = x[:-1][inside], x[1:][inside], doc[1:][inside]
-                odd = (v == UNKNOWN) | (w == UNKNOWN)
+                x, ends = encode(part.column("text"), split, words, lone)
+                pairs, at = _grams(x, ends, 2)
+                v, w = pairs[:, 0], pairs[:, 1]
                 each = uni[w] + back[v] + np.where(w == UNKNOWN, unknown + after[v], np.where(v == UNKNOWN, before[w], 0.0))
-                base = np.bincount(at, weights=each, minlength=b - a)
-                rest = part.select(own).append_column("n_words", pa.array(np.diff(ends) - 2)).append_column("total", pa.array(base)) if own else None
+                rest = part.select(own).append_column("n_words", pa.array(np.diff(ends) - 2)).append_column("total", pa.array(np.bincount(at, each, b - a)))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rest.schema) as f:
                     f.write_batch(rest)
-                pair, at = ((v << np.uint32(16)) | w)[~odd], at[~odd]
-                s = shard_of(pair, shards)
-                order = np.argsort((s << np.uint64(48)) | (pair.astype(np.uint64) << np.uint64(16)) | at, kind="stable")
-                s, pair, at = s[order], pair[order], at[order].astype(np.uint16)
+                plain = (v != UNKNOWN) & (w != UNKNOWN)
+                key, at = [keys(pairs[plain])], [at[plain]]
+                for n in range(3, order + 1):
+                    more, text = _grams(x, ends, n)
+                    key.append(keys(more))
+                    at.append(text)
+                key, at = np.concatenate(key), np.concatenate(at)
+                s = _shard(key, shards)
+                by = np.lexsort((at, key, s))
+                s, key, at = s[by], key[by], at[by]
                 bounds = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64))
                 whose = block % shards
-                blobs, where = [], []
-                for k in range(shards):
-                    i, j = bounds[k], bounds[k + 1]
-                    step = np.diff(pair[i:j], prepend=np.uint32(0))
-                    planes = np.concatenate([np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).ravel(), np.ascontiguousarray(at[i:j].view(np.uint8).reshape(-1, 2).T).ravel()])
-                    blobs.append(pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if j > i else b"")
-                    where.append(j - i)
-                keep = [k for k in range(shards) if where[k] or k == whose]
+                keep = [k for k in range(shards) if bounds[k + 1] > bounds[k] or k == whose]
+                blobs = [pack(np.diff(key[bounds[k] : bounds[k + 1]], prepend=np.uint64(0)), at[bounds[k] : bounds[k + 1]]) for k in keep]
                 info = [sink.getvalue().to_pybytes() if k == whose else None for k in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keep), block)), pa.array(keep, pa.int32()), pa.array(np.full(len(keep), b - a)), pa.array([where[k] for k in keep], pa.int64()), pa.array([blobs[k] for k in keep], pa.binary()), pa.array(info, pa.binary())],
-                    ["block", "shard", "texts", "pairs_in", "packed", "info"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), block)), pa.array(keep, pa.int32()), pa.array(np.full(len(keep), b - a)), pa.array(blobs, pa.binary()), pa.array(info, pa.binary())], ["block", "shard", "texts", "packed", "info"])
                 block += 1
+        tidy()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, keys, weights = None, None, None
+        last, known, weights = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                shard, n = row.column("shard")[0].as_py(), row.column("pairs_in")[0].as_py()
-                if shard != last:
-                    last = shard
-                    keys, weights = (np.frombuffer(row.column(c)[0].as_py() or b"", t) for c, t in (("pairs", np.uint32), ("weights", np.float32)))
+                shard, (steps, at) = batch.column("shard")[i].as_py(), unpack(batch.column("packed")[i].as_py())
+                if shard != last:  # rows come in the order of their shards
+                    last, (known, weights) = shard, _load(folder, shard)
                 sums = None
-                if n and len(keys):
-                    raw = np.frombuffer(pa.decompress(row.column("packed")[0].as_py(), decompressed_size=6 * n, codec="zstd", asbytes=True), np.uint8)
-                    pair = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).ravel(), dtype=np.uint32)
-                    at = np.ascontiguousarray(raw[4 * n :].reshape(2, n).T).view(np.uint16).ravel()
-                    place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                    sums = np.bincount(at, weights=np.where(keys[place] == pair, weights[place], 0), minlength=row.column("texts")[0].as_py()).astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_arrays([row.column("block"), pa.array([sums], pa.binary()), row.column("info")], ["block", "sums", "info"])
-
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        info = next(x for x in rows["info"] if x is not None)
-        table = pa.ipc.open_stream(pa.py_buffer(info)).read_all().to_pandas()
-        for s in sorted(x for x in rows["sums"] if x is not None):
-            table["total"] += np.frombuffer(s, np.float32)
-        return table
-
-    packed = docs.select(*own, "text").mapInArrow(pack, "block long, shard int, texts long, pairs_in long, packed binary, info binary")
-    joined = packed.join(weights, "shard").select("shard", "block", "texts", "pairs_in", "packed", "info", "pairs", "weights")
-    return joined.mapInArrow(found, "block long, sums binary, info binary").groupBy("block").applyInPandas(added, out_schema)
-
-
-def unknown_pairs(pairs: DataFrame, words: Vocabulary, count: str = "n") -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (v, UNKNOWN) by v and of (UNKNOWN, w) by w: two rows for each word of the vocabulary at most."""
-    after, before = np.zeros(words.size, np.int64), np.zeros(words.size, np.int64)
-    odd = pairs.filter((F.col("pair").bitwiseAND(0xFFFF) == UNKNOWN) | (F.shiftright("pair", 16) == UNKNOWN))
-    for r in odd.select("pair", count).collect():
-        if r["pair"] & 0xFFFF == UNKNOWN:
-            after[r["pair"] >> 16] = r[count]
-        else:
-            before[r["pair"] & 0xFFFF] = r[count]
-    return after, before
-
-
-def unknown_weights(model: Model, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.arange(len(after), dtype=np.int64)
-    return model.weight(ids << 16, after), model.weight(ids, before)
-
-
-def even_share(words: Vocabulary) -> float:
-    """What an unknown word adds to the log probability of UNKNOWN."""
-    return -math.log(words.others)
+                if len(known) and len(steps):
+                    key = np.cumsum(steps, dtype=np.uint64)
+                    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    sums = np.bincount(at.astype(np.int64), np.where(known[place] == key, weights[place], 0), batch.column("texts")[i].as_py()).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([sums], pa.binary()), batch.column("info").slice(i, 1)], ["block", "sums", "info"])
+        tidy()
+
+    def added(rows: pa.Table) -> pa.Table:
+        info = next(x for x in rows.column("info").to_pylist() if x is not None)
+        table = pa.ipc.open_stream(pa.py_buffer(info)).read_all()
+        total = table.column("total").to_numpy().copy()
+        for s in sorted(x for x in rows.column("sums").to_pylist() if x is not None):
+            total += np.frombuffer(s, np.float32)
+        return table.set_column(table.schema.get_field_index("total"), "total", pa.array(total))
+
+    rows = docs.select(*own, "text").mapInArrow(packed, "block long, shard int, texts long, packed binary, info binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod("block", F.lit(max(1, -(-parts // shards)))).alias("salt")  # a shard's packs go to many tasks
+    dealt = rows.repartition(max(parts, shards), "shard", salt).sortWithinPartitions("shard")
+    return dealt.mapInArrow(found, "block long, sums binary, info binary").groupBy("block").applyInArrow(added, out_schema)
