@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import math
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -17,43 +17,60 @@ def texts_of(nasty):
     return [(r["doc_id"], r["text"]) for r in nasty.collect()]
 
 
-def sequences(texts, split, ids):
+def sequences(texts, split, ids, lone=False):
     out = []
     for t in texts:
         words = [ids.get(w, 0) for w in split((t or "").encode())]
-        words = [0 if i and words[i - 1] == w else w for i, w in enumerate(words)]
-        out.append([1, *words, 1])
+        out.append([1, *[0 if lone and i and words[i - 1] == w else w for i, w in enumerate(words)], 1])
     return out
 
 
+def plain_discounts(values):
+    n = [sum(1 for c in values if c == i) for i in (1, 2, 3, 4)]
+    if 0 in n:
+        return [0, 0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0, *[min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) for i in range(3)]]
+
+
 class Plain:
     """The model by its definition, from sequences of ids."""
 
-    def __init__(self, seqs, size):
-        n = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
-        self.n, self.size = n, size
-        self.total, self.after, self.before = Counter(), {}, Counter()
-        for (v, w), c in n.items():
-            self.total[v] += c
-            self.after.setdefault(v, Counter())[min(c, 3)] += 1
-            self.before[w] += 1
-        of = lambda values: ngrams._discounts(*[sum(1 for c in values if c == i) for i in (1, 2, 3, 4)])
-        self.d, self.e = of(n.values()), of(self.before.values())
-        self.all = max(1, sum(self.before.values()))
-        self.free = (max(sum(self.e[min(c, 3) - 1] for c in self.before.values()), 1e-3) / self.all if self.before else 1.0) / size
+    def __init__(self, seqs, size, order=2):
+        self.size, self.order = size, order
+        self.c = {k: Counter() for k in range(1, order + 1)}
+        for s in seqs:
+            for i in range(1, len(s)):
+                gram = tuple(s[max(0, i - order + 1) : i + 1])
+                self.c[len(gram)][gram] += 1
+        for k in range(order - 1, 0, -1):
+            self.c[k].update(g[1:] for g in self.c[k + 1])
+        self.d = {k: plain_discounts(self.c[k].values()) for k in self.c}
+        self.heads = defaultdict(list)
+        for k in range(2, order + 1):
+            for g, c in self.c[k].items():
+                self.heads[g[:-1]].append(c)
+        one = self.c[1]
+        self.all = max(1, sum(one.values()))
+        self.free = (max(sum(self.d[1][min(c, 3)] for c in one.values()), 1e-3) / self.all if one else 1.0) / size
         self.norm = sum(self.lower(w) for w in range(size))
 
     def lower(self, w):
-        c = self.before[w]
-        return (max(c - self.e[min(c, 3) - 1], 0) / self.all if c else 0) + self.free
-
-    def p(self, v, w):
-        low = self.lower(w) / self.norm
-        if not self.total[v]:
+        c = self.c[1][w,]
+        return max(c - self.d[1][min(c, 3)], 0) / self.all + self.free
+
+    def p(self, *gram):
+        """Of the last word after the others."""
+        if len(gram) == 1:
+            return self.lower(gram[0]) / self.norm
+        k, low, on = len(gram), self.p(*gram[1:]), self.heads.get(gram[:-1])
+        if not on:
             return low
-        c, x = self.n[v, w], self.total[v]
-        mass = sum(self.d[k - 1] * m for k, m in self.after[v].items())
-        return (max(c - self.d[min(c, 3) - 1], 0) / x if c else 0) + mass / x * low
+        c, d = self.c[k][gram], self.d[k]
+        return max(c - d[min(c, 3)], 0) / sum(on) + sum(d[min(x, 3)] for x in on) / sum(on) * low
+
+    def log(self, s):
+        return [math.log(self.p(*s[max(0, i - self.order + 1) : i + 1])) for i in range(1, len(s))]
 
 
 def vocab(texts, split):
@@ -62,56 +79,82 @@ def vocab(texts, split):
     return {w: i + 2 for i, w in enumerate(top)}, max(1, len(c) - len(top))
 
 
-def test_score_is_the_difference_of_two_models(spark, nasty):
+@pytest.mark.parametrize("lone", [False, True])
+def test_score_is_the_difference_of_two_models(spark, nasty, lone, monkeypatch):
+    if lone:
+        monkeypatch.setattr(lmscore, "SHARDED_BYTES", 1 << 14)  # so there are more shards
     rows = texts_of(nasty)
     good = {i for i, _ in rows if i is not None and i % 2}
     target = spark.createDataFrame([(i,) for i in good] + [(77777,)], "trusted long")
     ids, _ = vocab([t for _, t in rows], lower_words)
-    back = Plain(sequences([t for _, t in rows], lower_words, ids), len(ids) + 2)
-    goal = Plain(sequences([t for i, t in rows if i in good], lower_words, ids), len(ids) + 2)
+    back = Plain(sequences([t for _, t in rows], lower_words, ids, lone), len(ids) + 2)
+    goal = Plain(sequences([t for i, t in rows if i in good], lower_words, ids, lone), len(ids) + 2)
     want = []
     for i, t in rows:
-        s = sequences([t], lower_words, ids)[0]
-        x = sum(math.log(back.p(v, w)) - math.log(goal.p(v, w)) for v, w in zip(s, s[1:], strict=False)) / (len(s) - 1)
-        want.append((str(i), len(s) - 2, round(x, 3) if len(s) > 2 else None))
-    got = [(str(r["doc_id"]), r["n_words"], None if r["score"] is None else round(r["score"], 3)) for r in lmscore.score(nasty, target).collect()]
-    for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
-        assert a[:2] == b[:2] and ((a[2] is None) == (b[2] is None)) and (a[2] is None or abs(a[2] - b[2]) < 0.01)
-    assert lmscore.score(nasty.limit(0), target).count() == 0
-    assert lmscore.score(nasty, target.limit(0)).count() == len(rows)
+        s = sequences([t], lower_words, ids, lone)[0]
+        x = (sum(back.log(s)) - sum(goal.log(s))) / (len(s) - 1)
+        want.append((str(i), len(s) - 2, x if len(s) > 2 else None))
+    got = [(str(r["doc_id"]), r["n_words"], r["score"]) for r in lmscore.score(nasty, target, lone=lone).collect()]
+    key = lambda r: (r[0], r[1], r[2] is None, round(r[2] or 0, 4))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or a[2] == pytest.approx(b[2], abs=1e-9))
+    if not lone:
+        assert lmscore.score(nasty.limit(0), target).count() == 0
+        assert lmscore.score(nasty, target.limit(0)).count() == len(rows)
 
 
 def test_probabilities_sum_to_one(spark, nasty):
     docs = nasty.select("text")
     words = ngrams.vocabulary(docs, plain_words)
-    pairs = ngrams.pair_counts(docs, plain_words, words)
-    model = ngrams.fit(pairs, words)
-    known = {(r["pair"] >> 16, r["pair"] & 0xFFFF): r["n"] for r in pairs.collect()}
+    model = ngrams.fit(ngrams.gram_counts(docs, plain_words, words, 2, False), words, 2)
     assert abs(np.exp(model.uni).sum() - 1) < 1e-9
-    for v in {v for v, _ in known}:
-        n = np.array([known.get((v, w), 0) for w in range(words.size)])
-        weight = model.weight((np.int64(v) << 16) | np.arange(words.size), n)
-        assert abs(np.exp(model.uni + model.back[v] + weight).sum() - 1) < 1e-6
-
-
-def test_perplexity(spark, nasty):
+    weights = {tuple(r["gram"]): r["weight"] for r in model.weights.collect()}
+    for v in {v for v, _ in weights}:
+        own = np.array([weights.get((v, w), 0.0) for w in range(words.size)])
+        assert abs(np.exp(model.uni + model.back[v] + own).sum() - 1) < 1e-6
+    seqs = sequences([t for _, t in texts_of(nasty)], plain_words, vocab([t for _, t in texts_of(nasty)], plain_words)[0])
+    plain = Plain(seqs, words.size, 3)
+    for h in [*plain.heads][:20] + [*plain.heads][-20:]:
+        assert abs(sum(plain.p(*h, w) for w in range(words.size)) - 1) < 1e-9
+
+
+@pytest.mark.parametrize(("order", "lone"), [(2, True), (3, False), (4, True)])
+def test_perplexity(spark, nasty, order, lone, monkeypatch):
+    monkeypatch.setattr(ngrams, "SHARD_GRAMS", 100)
     rows = texts_of(nasty)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(3, None, 1), (100, 0, 0), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
-    got = quality.judge(nasty, labels)
+    got = quality.judge(nasty, labels, order=order, lone=lone).collect()
     trusted = set(range(30)) - {4}
-    order = spark.createDataFrame([(i,) for i in trusted], "t long").selectExpr("t", "pmod(xxhash64('sample', t), 2) = 0 AS own")
-    fitted = {r["t"] for r in order.collect() if r["own"]}
+    order_of = spark.createDataFrame([(i,) for i in trusted], "t long").selectExpr("t", "pmod(xxhash64('sample', t), 2) = 0 AS own")
+    fitted = {r["t"] for r in order_of.collect() if r["own"]}
     own = [t for i, t in rows if i in fitted]
     ids, others = vocab(own, plain_words)
-    plain = Plain(sequences(own, plain_words, ids), len(ids) + 2)
-    want = Counter()
+    plain = Plain(sequences(own, plain_words, ids, lone), len(ids) + 2, order)
+    want = []
     for i, t in rows:
-        s = sequences([t], plain_words, ids)[0]
-        loss = -sum(math.log(plain.p(v, w)) - (math.log(others) if w == 0 else 0) for v, w in zip(s, s[1:], strict=False)) / (len(s) - 1)
-        want[(str(i), len(s) - 2, round(loss, 2) if len(s) > 2 else None)] += 1
-    have = Counter((str(r["doc_id"]), r["n_words"], None if r["perplexity"] is None else round(math.log(r["perplexity"]), 2)) for r in got.collect())
-    assert sum((have - want).values()) <= 2  # but for rounding
-    assert all(r["keep"] == (r["n_words"] > 0 and r["perplexity"] <= r["threshold"]) for r in got.collect())
+        s = sequences([t], plain_words, ids, lone)[0]
+        loss = -(sum(plain.log(s)) - math.log(others) * s.count(0)) / (len(s) - 1)
+        want.append((str(i), len(s) - 2, loss if len(s) > 2 else None))
+    have = [(str(r["doc_id"]), r["n_words"], None if r["perplexity"] is None else math.log(r["perplexity"])) for r in got]
+    key = lambda r: (r[0], r[1], r[2] is None, round(r[2] or 0, 3))
+    for a, b in zip(sorted(have, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or a[2] == pytest.approx(b[2], abs=1e-4))
+    assert all(r["keep"] == (r["n_words"] > 0 and r["perplexity"] <= r["threshold"]) for r in got)
+
+
+def test_sample_is_bounded_by_words(spark):
+    """No more of the trusted texts than have sample_words words together: without any, every word is unknown."""
+    docs = spark.createDataFrame([(i, f"a b c{i % 3}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    none = {r["perplexity"] for r in quality.judge(docs, labels, sample_words=2).collect()}
+    assert len(none) == 1 and len({round(r["perplexity"], 6) for r in quality.judge(docs, labels).collect()}) > 1
+
+
+def test_vocabulary_of_words_of_one_count(spark):
+    """70,000 words that occur twice each are all in the vocabulary."""
+    docs = spark.createDataFrame([(" ".join(f"v{i}" for i in range(k, k + 1000)),) for k in range(0, 70_000, 1000)] * 2, "text string")
+    words = ngrams.vocabulary(docs, plain_words)
+    assert words.size == 70_002 and words.others == 1
 
 
 def test_quality_edges(spark, nasty, no_labels):
@@ -132,12 +175,13 @@ def test_held_out_accuracy(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_pipeline(spark):
-    import public_tokenizers
     import zlib
 
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
     from lexshard.llm.shared import written
-    from lexshard.llm.tokens import _encoder
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -150,7 +194,7 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0
     got = corpus_pipeline.run(spark, sf)
-    tokenizer = _encoder(str(public_tokenizers.path("byte_bpe_50k.json"))).tokenizer
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     want = Counter()
     for r in docs.collect():
         ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2], "<u4")
@@ -171,7 +215,7 @@ def test_words_beyond_16_bits_are_scored(spark):
     assert len(got) == len(rows)
     for k in (0, 1, 69, 139):
         s = sequences([rows[k][1]], lower_words, ids)[0]
-        want = sum(math.log(back.p(v, w)) - math.log(goal.p(v, w)) for v, w in zip(s, s[1:], strict=False)) / (len(s) - 1)
+        want = (sum(back.log(s)) - sum(goal.log(s))) / (len(s) - 1)
         assert abs(got[k] - want) < 1e-6
 
 

@@ -58,34 +58,48 @@ def test_blocks_round_trip(kinds, n, seed):
 @given(st.lists(st.lists(st.sampled_from([" ", "\n", "  ", "\t", "a", "Word", "é", "'s", "12", "!", ".", ".,", "\u00a0", "\0", "中", "\r\n", "<|endoftext|>", "_"]), max_size=12).map("".join), max_size=5))
 def test_pieces_tokenize_as_the_library(docs):
     encoder = tokens._encoder(PATH)
-    ids, n = encoder.encode(docs)
-    want = [e.ids for e in encoder.tokenizer.encode_batch(docs, add_special_tokens=False)]
-    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert encoder.by_piece and [ids_of(encoder, d) for d in docs] == plain_ids(docs)
 
 
-def test_added_tokens_are_as_in_the_file():
+def ids_of(encoder, text):
+    return np.frombuffer(encoder.encode(text), encoder.dtype).tolist()
+
+
+def plain_ids(docs):
+    """By the library alone, as the contract calls it."""
     from tokenizers import Tokenizer
 
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(docs, add_special_tokens=False)]
+
+
+def test_added_tokens_are_as_in_the_file():
     docs = ["see <|endoftext|> here", "<|endoftext|>", "no such", "a<|endoftext|>b\nc <|endoftext|><|endoftext|>", "<|endoftext| >", "see here"]
-    ids, n = tokens._encoder(PATH).encode(docs)
-    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(docs, add_special_tokens=False)]
-    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
-    assert want[0] == [3826, 220, 50256, 994]
+    want = plain_ids(docs)
+    assert [ids_of(tokens._encoder(PATH), d) for d in docs] == want and want[0] == [3826, 220, 50256, 994]
+
+
+def test_letters_and_punctuation_tokenize_as_the_library():
+    docs = ["naïve— “quoted” 漢字 😀 ß ſ ŉ ǅ", "THE!! OF@@ a[b]c{d}e x_y__z a1b2 3.14", "don't won't can't! 'quoted' x's it'll.", "ªº µ × ÷ À é ﻿bom a\x85b éé,;:!? ÉÈ.", "a\nb.\n\u00e9!\n", "word,word ,word .\n.,;"]
+    assert [ids_of(tokens._encoder(PATH), d) for d in docs] == plain_ids(docs)
+    whole = "".join(chr(c) for c in range(1, 0x250)) + " " + " ".join(chr(c) for c in range(33, 0x250)) + " " + " ".join(f"a{chr(c)}b {chr(c)}s" for c in range(33, 0x250))
+    assert [ids_of(tokens._encoder(PATH), w) for w in whole.split("\n")] == plain_ids(whole.split("\n"))
 
 
 def test_forgetting_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 50)
     encoder = tokens.Encoder(PATH)
     for k in range(6):
-        docs = [" ".join(f"w{k}x{i % 9} the." for i in range(40))] * 2
-        ids, _ = encoder.encode(docs)
-        assert ids.tolist() == [i for e in encoder.tokenizer.encode_batch(docs, add_special_tokens=False) for i in e.ids]
+        docs = [" ".join(f"w{k}x{i % 9} the. Word{'abcdefgh'[i % 8] * k}," for i in range(40))] * 2
+        assert [ids_of(encoder, d) for d in docs] == plain_ids(docs)
+        assert len(encoder) <= 50
 
 
 def test_token_files(spark, nasty):
     files = tokens.write(nasty, PATH, end_id=2)
     got = tokens.read(files, "long").collect()
-    encoder = tokens._encoder(PATH).tokenizer
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(PATH)
     want, start = Counter(), 0
     for r in nasty.collect():
         ids = np.array([*encoder.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -126,6 +140,16 @@ def test_top_k(spark, monkeypatch, tile):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e8, 1.0]), (1, [1.0, 2.0]), (2, [-3e3, 5.5]), (3, [2.0**20, -1.0]), (50, [1.0, 1.0]), (4, [1e300, float("nan")]), (100, [0.25, 2.0**40])]
+    rows += [(7, [3.0, 3.0])] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(df).collect()) == sorted(brute_top(rows, 50, 5))
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="don't fit 64 bits"):
+        topk.search(huge).collect()
+
+
 def brute_components(rows, k, least=0.8):
     sets = []
     for _, t in rows:
@@ -180,6 +204,28 @@ def test_near_duplicates_edges(spark, nasty):
     assert max(n for i, n in ids.items() if i is not None) == 1 and 100 in ids and not {101, 102} & set(ids) and {103, 104, 105} <= set(ids)
 
 
+def test_repeated_rows_give_one_link(spark, monkeypatch):
+    """40 copies, with their ids, of each of two similar documents: a set each is checked, and one link is confirmed."""
+    text = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "more"]))] * 40 + [(3, "other words of no such text here")]
+    seen = []
+    own = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: seen.append((name, out := own(df, name), out.count())) or out)
+    got = Counter(tuple(r) for r in neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_components(rows, 5))
+    assert sum(n for name, _, n in seen if name == "links") == 1 and [n for name, _, n in seen if name == "sets"][-1] == 2
+    assert neardup.drop(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row int, `hash` int")).count() == 2
+
+
+def test_scratch_tables_go(spark, nasty):
+    from lexshard.llm.shared import shared_dir
+
+    at = shared_dir(spark).removeprefix("file://") + "/lexshard"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    assert neardup.cluster(nasty).count() == nasty.count()
+    assert len(set(os.listdir(at)) - before) == 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2040)] + [(5, 5)]
@@ -239,3 +285,19 @@ def test_hamming_blocks_find_all_within_the_radius():
     w, i = index.near(probes, 20)
     want = {(a, b) for a in range(len(probes)) for b in range(50) if np.bitwise_count(probes[a] ^ index.prints[b]) <= index.radius}
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == want
+
+
+def test_many_items_of_one_length(spark, monkeypatch):
+    """10,000 items of 12 words with INT ids, in several parts; each scan of the documents finds all that are there."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 50_000)
+    rng = np.random.default_rng(11)
+    items = [" ".join(f"u{x}" for x in rng.integers(0, 5_000, 12)) for _ in range(10_000)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id int, text string")
+    some = rng.integers(0, 10_000, 60).tolist()
+    docs = [(i, " ".join([f"d{x}" for x in rng.integers(0, 99, 15)] + (items[j].split() if i % 3 else items[j].split()[:11] + ["end"]) + ["tail"] * (i % 4))) for i, j in enumerate(some)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    got = decontaminate.find(df, bench)
+    assert dict(got.dtypes)["item_id"] == dict(got.dtypes)["doc_id"] == "int"
+    want = {(i, j, 15) for i, j in enumerate(some) if i % 3}
+    assert want <= {(r["doc_id"], r["item_id"], r["first_word"]) for r in got.collect() if r["similarity"] == 1.0}
+    assert {r["doc_id"] for r in decontaminate.drop(df, bench).collect()} == {i for i in range(60)} - {r["doc_id"] for r in got.collect()}
