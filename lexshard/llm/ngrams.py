@@ -9,7 +9,8 @@ weight, and for each longer gram that the model has a weight of its own (which h
 The first two are arrays as long as the vocabulary, which tasks hold: 24 bytes a word, and a model's texts are a bounded
 sample. The grams' weights are files of the shared folder, a shard of the grams' keys each. Scoring packs the grams of a
 block of texts by shard, deals the packs to as many tasks as there are partitions, which read their shards' weights once,
-and adds what each shard found to the block's texts again: no row for each gram and text, and no text is shuffled.
+and adds what each shard found to the block's texts again: no row for each gram and text, and no text is shuffled. Grams that
+a Bloom filter of the model's rules out have no weight and aren't packed.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .words import batch_hashes, mix64, texts, tidy
 UNKNOWN, MARK = 0, 1
 #: Texts and bytes of a block, grams of a shard.
 BLOCK_TEXTS, BLOCK_BYTES = 4_000, 16 << 20
-SHARD_GRAMS = 125_000
+SHARD_GRAMS, LEAST_SHARDS = 125_000, 64
 Split = Callable[[bytes], list]
 
 
@@ -183,9 +184,9 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
     back, spark = np.ones(words.size), counts.sparkSession
     low, weights = spark.createDataFrame(pa.table({"w": np.arange(words.size), "p": uni})).select(F.array(F.col("w").cast("int")).alias("tail"), F.col("p").alias("low")), None
     for k in range(2, order + 1):
-        level = levels[k].withColumn("head", F.slice("gram", 1, k - 1)).withColumn("tail", F.slice("gram", 2, k - 1))
-        d = discounts(*levels[k].agg(*_times(c)).first())
-        heads = level.groupBy("head").agg(F.sum("c").alias("total"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2"), F.count_if(c > 2).alias("n3"))
+        level, head, tail = levels[k], F.slice("gram", 1, k - 1), F.slice("gram", 2, k - 1)
+        d = discounts(*level.agg(*_times(c)).first())
+        heads = level.groupBy(head.alias("head")).agg(F.sum("c").alias("total"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2"), F.count_if(c > 2).alias("n3"))
         gamma = F.greatest(F.lit(1e-9), d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
         heads = written(heads.select("head", "total", gamma.alias("gamma")), "contexts")
         if k == 2:
@@ -196,21 +197,52 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
             weights[k - 1] = weights[k - 1].join(own, "gram", "left").select("gram", (F.col("weight") + F.coalesce("as_context", F.lit(0.0))).alias("weight"))
         backed = F.col("gamma") * F.col("low")
         p = _discounted(c, d) / F.col("total") + backed
-        level = written(level.join(heads, "head").join(low, "tail").select("gram", p.alias("p"), (F.log(p) - F.log(backed)).alias("weight")), f"grams-{k}")
+        level = written(level.join(heads, head == F.col("head")).join(low, tail == F.col("tail")).select("gram", p.alias("p"), (F.log(p) - F.log(backed)).alias("weight")), f"grams-{k}")
         weights = (weights or {}) | {k: level.select("gram", "weight")}
         low = level.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
     every = weights[2]
     for k in range(3, order + 1):
         every = every.unionByName(weights[k])
-    return Model(np.log(uni), np.log(back), written(every, "weights"), order)
+    return Model(np.log(uni), np.log(back), every if order == 2 else written(every, "weights"), order)
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (mix64(key) >> np.uint64(32)) % np.uint64(shards)
 
 
-def _stored(weights: DataFrame, folder: str, shards: int) -> None:
-    """Files of sorted keys and their weights, one for each shard that has any."""
+@dataclass
+class Bloom:
+    """A filter of keys, a part for each shard: 16 bits for each key, about, three of them set, of which one in 200 other keys
+    finds all by chance."""
+
+    part: int  # bits of a shard's part, a power of two
+    bits: np.ndarray
+
+    @staticmethod
+    def places(key: np.ndarray, part: int) -> Iterator[np.ndarray]:
+        h = mix64(key + np.uint64(0x9E3779B97F4A7C15))
+        for shift in (0, 21, 42):
+            yield (h >> np.uint64(shift)) & np.uint64(part - 1)
+
+    @staticmethod
+    def of(key: np.ndarray, part: int) -> bytes:
+        """A shard's part."""
+        bits = np.zeros(part, bool)
+        for at in Bloom.places(key, part):
+            bits[at] = True
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    def may_hold(self, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        found, first = np.ones(len(key), bool), shard.astype(np.uint64) * np.uint64(self.part)
+        for at in self.places(key, self.part):
+            at += first
+            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return found
+
+
+def _stored(weights: DataFrame, folder: str, shards: int, grams: int) -> Bloom:
+    """Files of sorted keys and their weights, one for each shard that has any. Two bytes for each key come to the driver."""
+    part = 1 << max(6, (12 * grams // shards).bit_length())
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,19 +251,22 @@ def _stored(weights: DataFrame, folder: str, shards: int) -> None:
             for n in np.unique(size).tolist():
                 at = np.flatnonzero(size == n)
                 key[at] = keys(flat[(ends[at] - n)[:, None] + np.arange(n)])
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), b.column("weight")], ["shard", "key", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), b.column("weight").cast(pa.float32())], ["shard", "key", "weight"])
 
     def save(table: pa.Table) -> pa.Table:
         key, order = table.column("key").to_numpy().view(np.uint64), np.argsort(table.column("key").to_numpy().view(np.uint64))
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         shard = table.column("shard")[0].as_py()
-        with fs.open_output_stream(f"{base}/{shard}", compression=None) as f:  # the same bytes, if a task is repeated
+        with fs.open_output_stream(f"{base}/{shard}", compression=None) as f:
             f.write(struct.pack("<Q", len(key)) + key[order].tobytes() + table.column("weight").to_numpy()[order].astype(np.float32).tobytes())
-        return pa.table({"shard": pa.array([shard], pa.int32())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([Bloom.of(key, part)], pa.binary())})
 
-    rows = weights.mapInArrow(own, "shard int, key long, weight double")
-    rows.groupBy("shard").applyInArrow(save, "shard int").collect()  # a row for each shard
+    rows = weights.mapInArrow(own, "shard int, key long, weight float")
+    bits = np.zeros(shards * part // 8, np.uint8)
+    for r in rows.groupBy("shard").applyInArrow(save, "shard int, bits binary").toLocalIterator():
+        bits[r["shard"] * part // 8 : (r["shard"] + 1) * part // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return Bloom(part, bits)
 
 
 def _load(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,21 +284,21 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
     spark = docs.sparkSession
     odd = F.array_contains("gram", UNKNOWN) & (F.size("gram") == 2)
     grams = model.weights.filter(~odd).count()
-    shards, folder = max(1, -(-grams // SHARD_GRAMS)), new_path(spark, "weights")
-    _stored(model.weights.filter(~odd), folder, shards)
+    shards, folder = max(LEAST_SHARDS, -(-grams // SHARD_GRAMS)), new_path(spark, "weights")
+    bloom = _stored(model.weights.filter(~odd), folder, shards, grams)
     # Pairs with UNKNOWN are two for each word at most, and many in a text: these weights are arrays, too.
     after, before = np.zeros(words.size, np.float32), np.zeros(words.size, np.float32)
     got = model.weights.filter(odd).select(F.col("gram")[0].alias("v"), F.col("gram")[1].alias("w"), "weight").toArrow()
     v, w, x = (got.column(c).to_numpy() for c in ("v", "w", "weight"))
     after[v[w == UNKNOWN]] = x[w == UNKNOWN]
     before[w[w != UNKNOWN]] = x[w != UNKNOWN]
-    held = spark.sparkContext.broadcast((words, model.uni.astype(np.float32), model.back.astype(np.float32), after, before))
+    held = spark.sparkContext.broadcast((words, model.uni.astype(np.float32), model.back.astype(np.float32), after, before, bloom))
     order, unknown = model.order, -math.log(words.others)
     own = [n for n in docs.columns if n != "text"]
     out_schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", n_words long, total double"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, uni, back, after, before = held.value
+        words, uni, back, after, before, bloom = held.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             sizes = np.cumsum([len(t) for t in texts(batch.column("text"))]) // BLOCK_BYTES + np.arange(batch.num_rows) // BLOCK_TEXTS
@@ -279,14 +314,15 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
                 with pa.ipc.new_stream(sink, rest.schema) as f:
                     f.write_batch(rest)
                 plain = (v != UNKNOWN) & (w != UNKNOWN)
-                key, at = [keys(pairs[plain])], [at[plain]]
+                found = [(keys(pairs[plain]), at[plain])]
                 for n in range(3, order + 1):
                     more, text = _grams(x, ends, n)
-                    key.append(keys(more))
-                    at.append(text)
-                key, at = np.concatenate(key), np.concatenate(at)
+                    found.append((keys(more), text))
+                key, at = (np.concatenate([y[k] for y in found]) for k in (0, 1))
                 s = _shard(key, shards)
-                by = np.lexsort((at, key, s))
+                some = np.flatnonzero(bloom.may_hold(key, s))
+                by = some[np.argsort(key[some], kind="stable")]
+                by = by[np.argsort(s[by].astype(np.uint16), kind="stable")]
                 s, key, at = s[by], key[by], at[by]
                 bounds = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64))
                 whose = block % shards
