@@ -6,9 +6,10 @@
 3. A bucket's classes are linked to a pivot of it, one class at first to the pivot with which it shares most bands, never
    all to all. Links are checked by signature, then on the full sets. Rounds with other pivots follow for the buckets whose
    classes are not yet in one component.
-4. In what buckets are then still mixed, all pairs across components are compared by signature, in tiles; pairs that may
-   be similar leave the task and are checked on their full sets. Classes that have too many shingles of their own to be in
-   such a link are left out before. A linked pair whose signatures disagree in more than SLACK allows is lost there, with
+4. In what buckets are then still mixed, all pairs across components are compared by signature, in tiles; the classes of
+   pairs that may be similar come to the tile again with their full sets, where pairs are checked until the tile's
+   components are linked: links alone leave the task, fewer than it has classes. Classes that have too many shingles of
+   their own to be in such a link are left out before. A linked pair whose signatures disagree in more than SLACK allows is lost there, with
    probability 1e-9 at a similarity of 0.8 and less above it; so is, before, one that shares no bucket.
 5. Components come from alternating large-star and small-star.
 """
@@ -32,7 +33,7 @@ BANDS = MINIMA // ROWS
 #: Signatures that agree in fewer minima than this share below the threshold belong to pairs below it (6.5 deviations).
 SLACK = 0.23
 #: Rounds of pivots before the comparison in tiles, and classes in a tile.
-ROUNDS, TILE = 3, 2048
+ROUNDS, TILE = 3, 512
 #: Class lists of up to so many rows (32 bytes each) are broadcast, larger ones joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 _seeds = np.random.default_rng(7).integers(0, 2**32, (2, MINIMA), dtype=np.uint32)
@@ -91,26 +92,70 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
 
 
+_TILE = ("bucket", "kind", "i", "j")
+
+
+class _Tile:
+    """Classes of a bucket in two parts, or one, whose pairs are to be compared."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows, side = rows, rows.column("side").to_numpy()
+        self.band, (self.cid, self.label, self.n) = rows.column("band")[0].as_py(), (rows.column(c).to_numpy() for c in ("cid", "label", "n"))
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
+        self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        self.right = self.right if len(self.right) else self.left
+
+    def candidates(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each class of the left part, those of the right with which it may be linked, of other components. A pair that
+        shares several buckets is looked at in that of its first band only."""
+        for i in self.left.tolist():
+            n = self.n[self.right]
+            fits = self.right[(self.label[self.right] != self.label[i]) & (100 * np.minimum(n, self.n[i]) >= least * np.maximum(n, self.n[i]))]
+            same = self.sig[fits] == self.sig[i]
+            near = np.count_nonzero(same, axis=1) >= (least / 100 - SLACK) * MINIMA
+            fits, same = fits[near], same[near]
+            yield i, fits[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band]
+
+
+def _tile_classes(least: int) -> Callable[[pa.Table], pa.Table]:
+    """A tile's classes that may be linked with another of it."""
+
+    def some(rows: pa.Table) -> pa.Table:
+        tile, keep = _Tile(rows), np.zeros(rows.num_rows, bool)
+        for i, fits in tile.candidates(least):
+            keep[fits] = True
+            keep[i] |= len(fits) > 0
+        return rows.filter(pa.array(keep))
+
+    return some
+
+
 def _tile_links(least: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a pair of tiles of a bucket, the pairs across components whose signatures may belong to similar sets. A pair that
-    shares several buckets is given in that of its first band only."""
+    """Links of a tile that join all of its components that have links."""
 
     def links(rows: pa.Table) -> pa.Table:
-        band, side = rows.column("band")[0].as_py(), rows.column("side").to_numpy()
-        cid, label, n = (rows.column(c).to_numpy() for c in ("cid", "label", "n"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
-        _, first = np.unique(np.stack([cid, side]), axis=1, return_index=True)
-        left, right = first[side[first] == 0], first[side[first] == 1]
-        right = right if len(right) else left
-        u, v = [], []
-        for i in left.tolist():
-            fits = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= least * np.maximum(n[right], n[i]))]
-            same = sig[fits] == sig[i]
-            near = np.count_nonzero(same, axis=1) >= (least / 100 - SLACK) * MINIMA
-            fits = fits[near][same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            u.append(np.full(len(fits), cid[i]))
-            v.append(cid[fits])
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for c, x in (("u", u), ("v", v))})
+        tile, u, v = _Tile(rows), [], []
+        sets, up = rows.column("shingles"), {x: x for x in set(tile.label.tolist())}
+        held: dict[int, np.ndarray] = {}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def shingle_set(i: int) -> np.ndarray:
+            if i not in held:
+                held[i] = np.frombuffer(sets[i].as_buffer(), np.uint64)
+            return held[i]
+
+        for i, fits in tile.candidates(least):
+            for j in fits.tolist():
+                a, b = root(int(tile.label[i])), root(int(tile.label[j]))
+                if a != b and _linked(shingle_set(i), shingle_set(j), least):
+                    up[a] = b
+                    u.append(int(tile.cid[i]))
+                    v.append(int(tile.cid[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return links
 
@@ -215,8 +260,12 @@ def _cluster(docs: DataFrame, id_col: str, text_col: str, k: int, least: int) ->
     met = met.unionAll(others.select(*cols, F.lit(0).alias("kind"), F.col("mine").alias("i"), each("main_tiles").alias("j"), F.lit(0).alias("side")))
     apart = others.select(*cols, "mine", each("other_tiles").alias("other"))
     met = met.unionAll(apart.select(*cols, F.lit(1).alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side")))
-    across = met.join(full.select("cid", "sig"), "cid").groupBy("bucket", "kind", "i", "j").applyInArrow(_tile_links(least), "u long, v long")
-    labels = _relabelled(labels, confirmed(written(across, "pairs")))
+    tile = "bucket long, kind int, i int, j int, side int, band int, cid long, label long, n long, sig binary"
+    met = met.select(*_TILE, "side", "band", "cid", "label", "n").join(full.select("cid", "sig"), "cid")
+    met = met.select(*[c.split()[0] for c in tile.split(", ")])
+    some = written(met.groupBy(*_TILE).applyInArrow(_tile_classes(least), tile), "tiles")
+    across = some.join(full.select("cid", "shingles"), "cid").groupBy(*_TILE).applyInArrow(_tile_links(least), "u long, v long")
+    labels = _relabelled(labels, written(across, "links"))
 
     least_id = classes.join(labels, "cid", "left").select("digest", "copies", "rep", "label").withColumn("alone", F.col("label").isNull())
     joined = least_id.filter("NOT alone").groupBy("label").agg(F.min("rep").alias("least"))
