@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MARKS = "!|#$%&*<>{}"
 #: Up to so many sources, their plan (under 100 bytes a source) is broadcast. The driver holds it: a mix names its sources.
 BROADCAST_SOURCES = 10_000
+#: Ids that are broadcast, 8 bytes each.
+BROADCAST_IDS = 200_000
 #: Rows of a source that are ordered in one task.
 ORDERED = 50_000
 
@@ -162,9 +164,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     light = written(_keyed(docs, id_col, text_col, source_col, seed), "mix-keys")
     plan = _plan(light, weights, max_epochs, buckets)
     ends = _at_the_boundary(_with_plan(light, plan).filter(_at_end()))
-    ends = ends.select(F.col("digest").alias("d"), F.col("source").alias("s"), F.row_number().over(Window.partitionBy("digest", "source").orderBy("taken")).alias("n"), "taken")
+    ends = ends.select(F.col("digest").alias("d"), F.col("source").alias("s"), F.row_number().over(Window.partitionBy("digest", "source").orderBy("taken")).alias("n"), "taken", "id")
+    ends = written(ends, "mix-ends")  # ORDERED rows a source at most, but for ties
     rows = _with_plan(_keyed(docs, id_col, text_col, source_col, seed, row=True), plan)
-    there = rows.filter(_at_end()).withColumn("nth", F.row_number().over(Window.partitionBy("digest", "source").orderBy("size")))
+    ids = ends.select(F.col("id").alias("of")).distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    near = docs.join(ids, docs[id_col].eqNullSafe(ids["of"]), "left_semi")  # so only these are looked at again
+    there = _with_plan(_keyed(near, id_col, text_col, source_col, seed, row=True), plan).filter(_at_end()).withColumn("nth", F.row_number().over(Window.partitionBy("digest", "source").orderBy("size")))
     there = there.join(ends, (there["digest"] == ends["d"]) & there["source"].eqNullSafe(ends["s"]) & (there["nth"] == ends["n"]))
     both = _away_from_it(rows.filter(~_at_end())).select("row", "size", "taken").unionByName(there.select("row", "size", "taken"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
