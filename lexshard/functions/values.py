@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -12,12 +13,21 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class ValueKind:
-    """A named kind of value. low and high bound integers that Spark's type alone does not."""
+    """A named kind of value. low and high bound integers that Spark's type alone does not. store and load turn values of the
+    user into those of spark_type, in whose order they are kept, and back; frames hold the latter."""
 
     name: str
     spark_type: T.DataType
     low: int | None = None
     high: int | None = None
+    store: Callable | None = None
+    load: Callable | None = None
+
+    def stored(self, value: object) -> object:
+        return self.store(value) if self.store and value is not None else value
+
+    def loaded(self, value: object) -> object:
+        return self.load(value) if self.load and value is not None else value
 
     @property
     def ddl(self) -> str:
@@ -36,6 +46,7 @@ class ValueKind:
 
     def literal(self, value: object) -> Column:
         """A bound of a range, in this kind's type. Integers beyond the type's range become its ends."""
+        value = self.stored(value)
         if isinstance(value, int) and isinstance(self.spark_type, (T.LongType, T.IntegerType)):
             bits = 63 if isinstance(self.spark_type, T.LongType) else 31
             value = min(max(value, -(1 << bits)), (1 << bits) - 1)
@@ -64,3 +75,10 @@ def kind_of(name: str) -> ValueKind:
     if name not in KINDS:
         raise ValueError(f"unknown kind of value {name!r}; there are {', '.join(KINDS)}")
     return KINDS[name]
+
+
+def register(kind: ValueKind) -> None:
+    """Make a kind of the user's known by its name, in this process. A name stands for one kind."""
+    if KINDS.get(kind.name, kind) != kind:
+        raise ValueError(f"there is another kind of value {kind.name!r}")
+    KINDS[kind.name] = kind

@@ -19,6 +19,8 @@ from ..operators import postings as ops
 from ..operators.segments import segment_index as segments
 from ..sources.directory import IndexDirectory
 from ..sources.files import Files, scratch
+from ..sources.shards import ShardWriter
+from .reading import open_shard
 from .summary import index_summary as summarise
 
 COMMON = ("the", "of", "and")
@@ -65,9 +67,7 @@ def _stored(spark: SparkSession, rows: DataFrame, merges: tuple[tuple[int, int],
     path = scratch(spark, "directory")
     Files(spark).mkdirs(path)
     directory = IndexDirectory(spark, path, "int64")
-    for r in rows.select("shard").distinct().orderBy("shard").collect():  # a row for each index file
-        with directory.writer() as w:
-            w.put_frame(rows.filter(F.col("shard").eqNullSafe(F.lit(r["shard"]))))
+    directory.put_many(rows)
     for least, most in merges:
         merger = directory.merger(least, most)
         merger.merge()
@@ -76,8 +76,11 @@ def _stored(spark: SparkSession, rows: DataFrame, merges: tuple[tuple[int, int],
 
 
 def build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = doc_batch(spark, sf_dir)
-    return batch.select(F.explode("terms").alias("term"), "value").filter("value IS NOT NULL").distinct()
+    """Written as a shard by a writer, and read back."""
+    path = scratch(spark, "shard")
+    with ShardWriter(spark, path, "int64", SEGMENT) as w:
+        w.put_frame(doc_batch(spark, sf_dir).select(F.explode("terms").alias("term"), "value").filter("value IS NOT NULL"))
+    return open_shard(spark, path, "int64").pairs()
 
 
 def duplicate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +88,15 @@ def duplicate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_terms_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.distinct_terms(doc_postings(spark, sf_dir).filter("shard = 'src0'"))
+    """From the shard of one source in a directory of one for each."""
+    directory = _stored(spark, doc_postings(spark, sf_dir))
+    path = next((s["path"] for s in directory.manifest()["shards"] if s["name"] == "src0"), None)
+    return open_shard(spark, path).term_table().select("term") if path else spark.createDataFrame([], "term string")
 
 
 def read_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.distinct_terms(doc_postings(spark, sf_dir))
+    """From a directory of shards, of which only the lists of terms are read."""
+    return ops.distinct_terms(_stored(spark, doc_postings(spark, sf_dir)).reader().term_table())
 
 
 def read_values_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +124,10 @@ def read_values_multi_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = doc_postings(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"))
-    return sizes.orderBy("n", "shard").limit(5)
+    """The five smallest shards, by postings, that a merge would take."""
+    sizes = {s["name"]: s["n_postings"] for s in _stored(spark, doc_postings(spark, sf_dir)).manifest()["shards"]}
+    chosen = merging.batch_to_merge([(n, name) for name, n in sizes.items()], 2, 5)
+    return spark.createDataFrame([(name, sizes[name]) for name in chosen], "shard string, n long")
 
 
 def merge_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +144,7 @@ def merge_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(order_postings(spark, sf_dir), 100)
+    return segments(_stored(spark, order_postings(spark, sf_dir)).reader().postings(), 100)
 
 
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

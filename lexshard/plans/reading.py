@@ -15,8 +15,8 @@ from ..sources.shards import encoded, postings_schema, read_summary, terms_schem
 class Result:
     """An ascending result of one column. It pins its shards until it is closed or pulled to its end."""
 
-    def __init__(self, df: DataFrame, release: Callable[[], None]):
-        self._df, self._release, self._closed = df, release, False
+    def __init__(self, df: DataFrame, release: Callable[[], None], load: Callable = lambda x: x):
+        self._df, self._release, self._load, self._closed = df, release, load, False
 
     @property
     def df(self) -> DataFrame:
@@ -28,10 +28,10 @@ class Result:
         for row in self.df.toLocalIterator():
             if self._closed:
                 raise Closed("the result is closed")
-            yield row[0]
+            yield self._load(row[0])
 
     def to_list(self) -> list:
-        out = [r[0] for r in self.df.collect()]
+        out = [self._load(r[0]) for r in self.df.collect()]
         self.close()
         return out
 
@@ -82,8 +82,8 @@ class Reader:
         self._open()
         return self._read(self.shards, "terms", terms_schema(self.kind))
 
-    def _result(self, df: DataFrame, shards: list[dict]) -> Result:
-        return Result(df, self._pin([s["id"] for s in shards]))
+    def _result(self, df: DataFrame, shards: list[dict], load: Callable = lambda x: x) -> Result:
+        return Result(df, self._pin([s["id"] for s in shards]), load)
 
     def terms(self) -> Result:
         """All distinct terms, ascending. Only the lists of terms are read."""
@@ -93,7 +93,7 @@ class Reader:
         if not s["n_postings"] or (terms is not None and not any(s["min_term"] <= t <= s["max_term"] for t in terms)):
             return False
         try:
-            low, high = (None if x is None else encoded(x) for x in (low, high))
+            low, high = (None if x is None else encoded(self.kind.stored(x)) for x in (low, high))
             return not ((low is not None and s["max_value"] < low) or (high is not None and s["min_value"] > high))
         except TypeError:
             return True
@@ -106,7 +106,7 @@ class Reader:
 
     def values(self, terms: Iterable[str] | DataFrame, low: object = None, high: object = None) -> Result:
         """As values_frame(), ascending. Without bounds, all values."""
-        return self._result(self.values_frame(terms, low, high).orderBy("value"), self.shards)
+        return self._result(self.values_frame(terms, low, high).orderBy("value"), self.shards, self.kind.loaded)
 
     def all_values(self, terms: Iterable[str] | DataFrame) -> Result:
         return self.values(terms)

@@ -67,15 +67,23 @@ class Files:
             stream.close()
         return True
 
+    def rename(self, path: str, to: str) -> None:
+        fs, at = self._at(path)
+        if not fs.rename(at, self._at(to)[1]):
+            raise OSError(f"{path} can't be renamed to {to}")
+
     def remove(self, path: str) -> None:
         fs, at = self._at(path)
         fs.delete(at, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; where that is unset, in a temporary one."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; where that is unset and Spark runs in one
+    process, in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="lexshard-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lexshard/{name}-{uuid.uuid4().hex}"

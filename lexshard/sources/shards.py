@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from collections.abc import Iterable
 from decimal import Decimal
 
@@ -69,6 +70,42 @@ def write_shard(rows: DataFrame, path: str, kind: ValueKind, segment_size: int)
     return summary
 
 
+def write_shards(rows: DataFrame, path: str, ids: DataFrame, kind: ValueKind, segment_size: int) -> dict[str, dict]:
+    """Write distinct (shard, term, value) rows, a null value for a term without postings, as many shards at once: one scan
+    for all. ids: (shard, id), a row a shard. A shard's folder is path/id; the summaries, by id."""
+    spark, files = rows.sparkSession, Files(rows.sparkSession)
+    named = rows.withColumnRenamed("shard", "own").join(F.broadcast(ids), F.col("own").eqNullSafe(F.col("shard"))).select("id", "term", "value")
+    deal = lambda df, *by: df.repartitionByRange("id", *by).sortWithinPartitions("id", *by).write.partitionBy("id")
+    bulk = f"{path}/_bulk-{uuid.uuid4().hex}"
+    try:
+        deal(named.filter("value IS NOT NULL"), "term", "value").parquet(f"{bulk}/postings")
+        bad = F.coalesce(kind.is_bad(F.col("value")), F.lit(False)) | F.coalesce(F.expr(NO_TERM_SQL), F.lit(False))
+        stats = [F.count("value").alias("df"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count_if(bad).alias("bad")]
+        of_terms = Observation()
+        deal(named.groupBy("id", "term").agg(*stats).observe(of_terms, F.sum("bad").alias("bad")).drop("bad"), "term").parquet(f"{bulk}/terms")
+        if of_terms.get["bad"]:
+            found = named.filter(bad).first()
+            raise BadInput(f"{found['term']!r}: {found['value']!r}")
+        terms = spark.read.schema(T.StructType([T.StructField("id", T.StringType()), *terms_schema(kind)])).parquet(f"{bulk}/terms")
+        got = terms.groupBy("id").agg(F.sum("df").alias("n_postings"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.count("*").alias("n_terms"), F.min("term").alias("min_term"), F.max("term").alias("max_term")).collect()
+        out = {}
+        for r in got:  # a row for each shard
+            for part, schema in (("postings", postings_schema(kind)), ("terms", None)):
+                files.mkdirs(f"{path}/{r['id']}")
+                if files.exists(f"{bulk}/{part}/id={r['id']}"):
+                    files.rename(f"{bulk}/{part}/id={r['id']}", f"{path}/{r['id']}/{part}")
+                else:  # terms without any posting
+                    spark.createDataFrame([], schema).write.parquet(f"{path}/{r['id']}/{part}")
+            summary = {k: encoded(v) for k, v in r.asDict().items() if k != "id"}
+            summary |= {"kind": kind.name, "segment_size": segment_size} | {f"{part}_bytes": files.size(f"{path}/{r['id']}/{part}") for part in ("postings", "terms")}
+            summary["bytes"] = summary["postings_bytes"] + summary["terms_bytes"]
+            files.create(f"{path}/{r['id']}/{SUMMARY}", json.dumps(summary))
+            out[r["id"]] = summary
+        return out
+    finally:
+        files.remove(bulk)
+
+
 def read_summary(spark: SparkSession, path: str) -> dict:
     files = Files(spark)
     at = f"{path}/{SUMMARY}"
@@ -109,7 +146,7 @@ class ShardWriter:
             raise BadInput("a term is not empty")
         if term in self._single:
             raise DuplicateTerm(term)
-        self._single[term] = [Decimal(v) if self.kind.name == "uint64" else v for v in values]
+        self._single[term] = [Decimal(v) if self.kind.name == "uint64" else self.kind.stored(v) for v in values]
 
     def put_frame(self, batch: DataFrame) -> None:
         """Put (term, values) rows of a DataFrame, or (term, value) rows, whose terms may repeat."""
