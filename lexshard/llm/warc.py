@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_path, open_fs, written
+from .words import tidy
 
 #: Fixed value of the query's contract: smaller payloads are never revisits.
 LEAST = 100
@@ -32,6 +33,8 @@ ROTATE = 64 << 20
 CHUNK = 1 << 20
 #: A member of so many bytes at most is unpacked once, a larger one twice.
 HELD = 16 << 20
+#: Payloads that occur again are broadcast, by digest, if there are so many at most (about 120 bytes each).
+BROADCAST_DIGESTS = 200_000
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -299,15 +302,22 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = pages.select(F.col(id_col).alias("id"), payload.alias("payload")).filter(F.octet_length("payload") >= least)
     firsts = large.groupBy(F.sha2("payload", 256).alias("of")).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull())
-    rows = rows.join(firsts.select("of", "first"), F.col("digest") == F.col("of"), "left")
-    rows = rows.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    firsts = written(firsts.select("of", "first"), "repeated-payloads")
+    marked = lambda r, f: r.join(f, F.col("digest") == F.col("of"), "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    if firsts.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        rows = marked(rows, F.broadcast(firsts))  # so no payload is shuffled
+    else:
+        size = F.octet_length("payload")
+        none = rows.filter(size < least).withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+        rows = none.unionByName(marked(rows.filter(size >= least), firsts))
     folder = new_path(pages.sparkSession, "warc")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         out, done = None, []
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # row by row, as payloads are large
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
@@ -323,6 +333,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             done.append((f"{folder}/{name}", n, size))
         paths, ns, sizes = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ns, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
+        tidy()
 
     return written(rows.mapInArrow(save, "path string, records long, bytes long"), "warc-list")
 
@@ -355,6 +366,7 @@ def read(archives: DataFrame) -> DataFrame:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
+        tidy()
 
     n = archives.count()
     return archives.select("path").repartition(max(1, n)).mapInArrow(load, READ)
