@@ -55,15 +55,33 @@ def codes(lens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bits(code: np.ndarray, n: np.ndarray, together: int) -> bytes:
+    """Codes of n bits each as one bit string. So many codes together have 64 bits at most."""
+    while together > 1:
+        if len(n) % 2:
+            code, n = np.append(code, np.uint64(0)), np.append(n, np.uint64(0))
+        code, n, together = (code[::2] << n[1::2]) | code[1::2], n[::2] + n[1::2], together // 2
+    if not (size := int(n.sum())):
+        return b""
+    end = np.cumsum(n)
+    at = end - n
+    word, inside = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    left = code << (np.uint64(64) - n)  # a group has one bit at least, so no shift is by 64
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(left >> inside, first)
+    over = np.flatnonzero(inside + n > np.uint64(64))  # of these no two go over into one word
+    out[word[over] + 1] |= left[over] << (np.uint64(64) - inside[over])
+    return out.astype(">u8").tobytes()[: -(-size // 8)]
+
+
 class Coder:
     def __init__(self, lens: np.ndarray):
         self.lens = lens.astype(np.int64)
         self.bits = max(1, int(lens.max(initial=0)))
-        self.wide = 16 if self.bits <= 16 else 32
         if self.bits > 24:
             raise ValueError("codes have 24 bits at most")
-        plain = codes(lens)
-        self.left = (plain.astype(np.uint64) << (self.wide - self.lens).clip(0).astype(np.uint64)).astype(f">u{self.wide // 8}")
+        self.codes = codes(lens).astype(np.uint64)
         self.table_id = np.zeros(1 << self.bits, np.uint32)
         self.table_len = np.zeros(1 << self.bits, np.uint8)
         used = np.flatnonzero(lens)
@@ -75,10 +93,8 @@ class Coder:
     def encode(self, ids: np.ndarray) -> bytes:
         """A block of up to BLOCK ids."""
         n = self.lens[ids]
-        bits = np.unpackbits(self.left[ids].view(np.uint8)).reshape(-1, self.wide)
-        data = np.packbits(bits[np.arange(self.wide) < n[:, None]]).tobytes()
-        marks = (np.cumsum(n) - n)[::EVERY].astype("<u4").tobytes()
-        body = marks + data
+        at = np.cumsum(n) - n
+        body = at[::EVERY].astype("<u4").tobytes() + _bits(self.codes[ids], n.astype(np.uint64), 4 if self.bits <= 16 else 2)
         return struct.pack("<III", len(ids), len(body), zlib.crc32(body)) + body
 
     def decode(self, block: bytes) -> np.ndarray:

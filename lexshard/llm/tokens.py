@@ -9,13 +9,13 @@ A file: MAGIC; the sizes of the next two parts; code lengths, zlib; documents (i
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,146 +25,99 @@ from pyspark.sql import functions as F
 
 from .huffman import BLOCK, MAX_BITS, Coder, lengths
 from .shared import new_path, open_fs, remove, written
-from .words import texts
+from .words import tidy
 
 MAGIC = b"LXTOK01\n"
 #: A new file is begun beyond so many ids.
 ROTATE = 1 << 25
-#: Pieces of text whose ids a task remembers.
-MEMO = 200_000
-#: Of them in a text for the library, whose time for a text grows faster than its length.
-LINES = 300
-#: Punctuation that is taken off the end of a piece.
-ENDINGS = ".,;:!?"
-NEW, NO_PIECE = -2, -1
+#: Pieces of text whose ids a task remembers, beside as many that it met before these.
+MEMO = 400_000
+#: Letters, and after them punctuation, that the splitting rule of byte-level BPE takes for one part each. Letters that any
+#: version of Unicode knows; no apostrophe, which the rule joins with some letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder:
+def _alphabet() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level BPE: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in own else next(rest) for b in range(256)}
+
+
+class _Whole(Exception):
+    """A text has to go to the library whole."""
+
+
+class Encoder(dict):
     """Ids of texts by a tokenizer file of the tokenizers library, without special tokens.
 
     Where the file is a byte-level BPE without a normalizer, its splitting rule never joins characters across a single
     space or around a single line feed between other characters. So such pieces of a text are tokenized by the library once
-    and remembered. Texts with other white space or with the text of an added token, and all texts under other tokenizers,
-    go to the library whole.
+    and remembered, as packed ids by piece: words of letters by its BPE model itself, other pieces by the tokenizer. Texts
+    with other white space or with the text of an added token, and all texts under other tokenizers, go to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        t = self.tokenizer
+        super().__init__()
+        t = self.tokenizer = Tokenizer.from_file(path)
+        self.size = t.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         rule = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer else {}
         self.by_piece = type(t.model).__name__ == "BPE" and t.normalizer is None and t.post_processor is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
-        added = [a.content for a in t.get_added_tokens_decoder().values()]
-        self.by_piece = self.by_piece and not any(c.isspace() or c == "\0" for a in added for c in a)
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
-        self.at, self.flat = self.marks(), np.empty(0, np.uint32)
-        self.ends, self.hits = np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def forget(self) -> None:
-        """Forget pieces that came once, and of the others the rarest, until half the room is free."""
-        names = [p for p, i in self.at.items() if i >= 0]
-        own = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
-        hits = self.hits[own]
-        least = max(2, int(np.partition(hits, -(MEMO // 2))[-(MEMO // 2)]) + 1) if len(own) > MEMO // 2 else 2
-        stay = np.flatnonzero(hits >= least)
-        at = own[stay]
-        self.flat, n = self._of(at)
-        self.ends = np.concatenate([[0], np.cumsum(n)])
-        self.hits = self.hits[at] // 2
-        self.at = self.marks() | {names[k]: i for i, k in enumerate(stay.tolist())}
-
-    @staticmethod
-    def marks() -> dict[str, int]:
-        return {"\n": NO_PIECE, "": NO_PIECE}
-
-    def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of remembered pieces one after the other, and how many each has."""
-        start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        return self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
-
-    def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        known = len(self.ends) - 1
-        self.flat = np.concatenate([self.flat, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
-        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int64)])
-        self.at.update(zip(pieces, range(known, known + len(pieces)), strict=True))
-
-    def whole(self, *docs: str) -> np.ndarray:
-        """The ids of texts, one after the other."""
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(docs), add_special_tokens=False)]
-        return np.concatenate(ids) if ids else np.empty(0, np.uint32)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Remember new pieces. One that ends in punctuation after a letter or digit is its word and the punctuation, which
-        the splitting rule never joins."""
-        bodies = [p[1:] if p[0] in "\0\n" else p for p in pieces]
-        good = pieces
-        if len("".join(bodies).split()) != 1 or not all(bodies):  # some have white space, or nothing, in them
-            good = [p for p, b in zip(pieces, bodies, strict=True) if b.split() == [b]]
-            self.at.update(dict.fromkeys(set(pieces).difference(good), NO_PIECE))
-        plain, joined = [], []
-        for p in good:
-            word = p.rstrip(ENDINGS)
-            if len(word) < len(p) and len(word) > (p[0] in "\0\n") and word[-1].isalnum():
-                joined.append((p, word, "\0" + p[len(word) :]))
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()] + ["\0"]
+        self.by_piece = self.by_piece and not any(c.isspace() or c == "\0" for a in self.added[:-1] for c in a)
+        self.before: dict[str, bytes] = {}
+        self.alphabet = _alphabet()
+        self.space, self.code = " ".translate(self.alphabet), "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize, self.feed = t.model.tokenize, self.whole("\n")
+
+    def _packed(self, ids) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str, space: bool) -> bytes:
+        """The ids of letters, or of a space and letters, by the BPE model."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenize(self.space + word if space else word)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        """A piece stands for a space and itself, one that begins a text (after \\0) or a line (after \\n) for itself."""
+        found = self.before.get(piece)
+        if found is None:
+            first = piece[:1]
+            if first == "\n":
+                found = self.feed + self["\0" + piece[1:]]
             else:
-                plain.append(p)
-        self._ask(list(dict.fromkeys(x for x in itertools.chain(plain, (x for j in joined for x in j[1:])) if x not in self.at)))
-        if joined:
-            ids, n = self._of(np.array([self.at[x] for j in joined for x in j[1:]], np.int64))
-            self._add([j[0] for j in joined], ids, n.reshape(-1, 2).sum(axis=1))
-
-    def _ask(self, pieces: list[str]) -> None:
-        """Remember what the library says of pieces. It gets them in texts of some hundred, a line each: the line feed after
-        each is one id, that no piece has."""
-        if not pieces:
-            return
-        feed = int(self.whole("\n")[0])
-        lines = [p[1:] + "\n" if p[0] in "\0\n" else f" {p}\n" for p in pieces]
-        ids = self.whole(*["".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)])
-        stop = np.flatnonzero(ids == feed)
-        n = np.diff(stop, prepend=-1) - 1
-        begins = np.array([p[0] == "\n" for p in pieces])  # these have the feed itself before their ids
-        keep = np.ones(len(ids), bool)
-        keep[stop] = False
-        at = stop - n
-        more = np.insert(ids, at[begins], feed)
-        self._add(pieces, more[np.insert(keep, at[begins], True)], n + begins)
-
-    def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and how many each has."""
-        if not self.by_piece:
-            parts = [self.whole(d) for d in docs]
-            return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.array([len(x) for x in parts], np.int64)
-        if len(self.at) > MEMO:
-            self.forget()
-        # A piece stands for a space and itself, one that begins a text (after \0) or a line (after \n) for itself.
-        split = [[] if not d else [""] if "\0" in d or self.added.search(d) else ("\0" + d).replace("\n", " \n").split(" ") for d in docs]
-        sizes = np.array([len(x) for x in split], np.int64)
-        pieces = list(itertools.chain.from_iterable(split))
-        at = np.fromiter(map(self.at.get, pieces, itertools.repeat(NEW)), np.int64, len(pieces))
-        new = np.flatnonzero(at == NEW)
-        if len(new):
-            self.learn(list(dict.fromkeys(map(pieces.__getitem__, new.tolist()))))
-            at[new] = np.fromiter(map(self.at.__getitem__, map(pieces.__getitem__, new.tolist())), np.int64, len(new))
-        first = np.cumsum(sizes) - sizes
-        odd = np.zeros(len(docs), bool)
-        odd[np.searchsorted(first + sizes, np.flatnonzero(at == NO_PIECE), side="right")] = True
-        own = np.repeat(odd, sizes)
-        self.hits += np.bincount(at[~own], minlength=len(self.hits))
-        ids, some = self._of(at[~own])
-        n = np.zeros(len(at), np.int64)
-        n[~own] = some
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        counts = bounds[first + sizes] - bounds[first]
-        if odd.any():
-            cuts = np.concatenate([[0], np.cumsum(counts)])
-            parts = [self.whole(d) if o else ids[cuts[i] : cuts[i + 1]] for i, (d, o) in enumerate(zip(docs, odd, strict=True))]
-            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        return ids, counts
+                body = piece[1:] if first == "\0" else piece
+                if plain := _PLAIN.fullmatch(body):
+                    tail = plain[2]
+                    found = self[piece[: -len(tail)]] + self["\0" + tail] if tail else self._word(body, body is piece)
+                elif body.split() != [body]:  # empty, or has white space in it
+                    raise _Whole
+                else:
+                    found = self.whole(body if first == "\0" else " " + body)
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed."""
+        if not text:
+            return b""
+        if self.by_piece and not any(a in text for a in self.added):
+            try:
+                return b"".join(map(self.__getitem__, ("\0" + text).replace("\n", " \n").split(" ")))
+            except _Whole:
+                pass
+        return self.whole(text)
 
 
 def _encoder(path: str) -> Encoder:
@@ -182,6 +135,7 @@ def _tokenize(tokenizer: str, end_id: int, folder: str):
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         encoder, rows, out = _encoder(tokenizer), [], None
+        end = encoder._packed([end_id])
         counts = np.zeros(0, np.int64)
 
         def close() -> None:
@@ -193,14 +147,9 @@ def _tokenize(tokenizer: str, end_id: int, folder: str):
             for i in range(0, batch.num_rows, 500):
                 piece = batch.slice(i, 500)
                 part = piece.column("part")[0].as_py()
-                ids, n = encoder.encode([t.decode("utf-8", "replace") for t in texts(piece.column("text"))])
-                cuts = np.zeros(len(n) + 1, np.int64)
-                np.cumsum(n + 1, out=cuts[1:])
-                whole = np.full(cuts[-1], end_id, np.uint32)
-                inner = np.ones(cuts[-1], bool)
-                inner[cuts[1:] - 1] = False
-                whole[inner] = ids
-                table = pa.RecordBatch.from_arrays([piece.column("id"), pa.array([whole[a:b].astype(np.uint16 if encoder.size <= 1 << 16 else np.uint32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["id", "ids"])
+                packed = [encoder.encode(t or "") + end for t in piece.column("text").to_pylist()]
+                whole = np.frombuffer(b"".join(packed), encoder.dtype)
+                table = pa.RecordBatch.from_arrays([piece.column("id"), pa.array(packed, pa.binary())], ["id", "ids"])
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     name, n_docs, n_ids, counts = f"{uuid.uuid4().hex}.arrow", 0, 0, np.zeros(max(encoder.size, end_id + 1), np.int64)
@@ -217,6 +166,7 @@ def _tokenize(tokenizer: str, end_id: int, folder: str):
             close()
         schema = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("counts", pa.binary())])
         yield pa.RecordBatch.from_pylist(rows, schema)
+        tidy()
 
     return save
 
