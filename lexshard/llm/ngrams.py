@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_fs, written
+from .shared import at_end, new_path, open_fs, written
 from .words import batch_hashes, mix64, texts, tidy
 
 UNKNOWN, MARK = 0, 1
@@ -123,6 +123,7 @@ def keys(grams: np.ndarray) -> np.ndarray:
 def gram_counts(docs: DataFrame, split: Split, words: Vocabulary, order: int, lone: bool) -> DataFrame:
     """(gram array, c) of docs.text: grams of ``order`` words, and shorter ones that begin with MARK."""
     held = docs.sparkSession.sparkContext.broadcast(words)
+    at_end(held.destroy)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,6 +294,7 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
     after[v[w == UNKNOWN]] = x[w == UNKNOWN]
     before[w[w != UNKNOWN]] = x[w != UNKNOWN]
     held = spark.sparkContext.broadcast((words, model.uni.astype(np.float32), model.back.astype(np.float32), after, before, bloom))
+    at_end(held.destroy)
     order, unknown = model.order, -math.log(words.others)
     own = [n for n in docs.columns if n != "text"]
     out_schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", n_words long, total double"

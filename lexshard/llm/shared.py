@@ -10,10 +10,12 @@ import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .words import tidy
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a slash at its end."""
@@ -43,13 +45,23 @@ _open = threading.local()
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that written() makes, and folders that new_path() names, inside are removed at the end, whatever happens, but
     for those that are kept()."""
-    outer, _open.paths = getattr(_open, "paths", None), set()
+    outer = getattr(_open, "paths", None), getattr(_open, "calls", None)
+    _open.paths, _open.calls = set(), []
     try:
         yield
     finally:
         for path in _open.paths:
             remove(spark, path)
-        _open.paths = outer
+        for call in _open.calls:
+            call()
+        _open.paths, _open.calls = outer
+        tidy()
+
+
+def at_end(call: Callable[[], object]) -> None:
+    """Have the innermost scratch(), if there is one, call this at its end."""
+    if getattr(_open, "calls", None) is not None:
+        _open.calls.append(call)
 
 
 def kept(table: DataFrame) -> DataFrame:
