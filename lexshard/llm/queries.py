@@ -113,11 +113,83 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(_table(spark, sf_dir, "documents"), k=4)
 
 
+#: Links by prefix filtering: of sets with the given similarity, the rarest shingles of each have one in common.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3])) END AS grams
+  FROM w
+), s AS (
+  SELECT list_sort(grams) AS grams, min(doc_id) AS rep FROM g WHERE len(grams) > 0 GROUP BY 1
+), x AS (
+  SELECT rep, len(grams) AS n, unnest(grams) AS gram FROM s
+), f AS (
+  SELECT rep, n, x.gram, row_number() OVER (PARTITION BY rep ORDER BY c.df, x.gram) AS nth
+  FROM x JOIN (SELECT gram, count(*) AS df FROM x GROUP BY gram) c USING (gram)
+), p AS (
+  SELECT rep, n, gram FROM f WHERE nth <= n - ceil(0.8 * n) + 1
+), c AS (
+  SELECT DISTINCT a.rep AS u, b.rep AS v FROM p a JOIN p b ON a.gram = b.gram AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), l AS (
+  SELECT u, v FROM c JOIN s a ON a.rep = u JOIN s b ON b.rep = v
+  WHERE 180 * len(list_intersect(a.grams, b.grams)) >= 80 * (len(a.grams) + len(b.grams))
+), e AS (
+  SELECT u, v FROM l UNION SELECT v, u FROM l
+), r AS (
+  SELECT rep AS node, rep AS root FROM s UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node AND r.root < e.v
+), k AS (
+  SELECT node, min(root) AS least FROM r GROUP BY node
+)
+SELECT g.doc_id, len(g.grams)::BIGINT AS n_shingles, coalesce(k.least, g.doc_id) AS component_id, g.doc_id = coalesce(k.least, g.doc_id) AS kept
+FROM g LEFT JOIN s ON s.grams = list_sort(g.grams) LEFT JOIN k ON k.node = s.rep
+"""
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+_PHRASES = ", ".join(f"({i}, '{t}', '{label}', {i < len(licenses.PHRASES)})" for i, (t, label) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES]))
+OP8_SQL = rf"""
+WITH t AS (
+  SELECT id, string_split(phrase, ' ') AS words, label, base FROM (VALUES {_PHRASES}) AS v(id, phrase, label, base)
+), tg AS (
+  SELECT id, label, base, len(words) AS size, i - 1 AS t, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM t)
+), d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents
+), dg AS (
+  SELECT doc_id, i - 1 AS p, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM d)
+), h AS (
+  SELECT doc_id, tg.id, label, base, size, t, p - t AS diagonal, p FROM dg JOIN tg USING (gram)
+), b AS (
+  SELECT doc_id, diagonal AS start, label FROM h WHERE base GROUP BY doc_id, id, label, size, diagonal HAVING count(DISTINCT t) = size - 2
+), n AS (
+  SELECT *, sum(CASE WHEN diagonal - before <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS run
+  FROM (SELECT DISTINCT doc_id, id, diagonal, lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS before
+        FROM (SELECT DISTINCT doc_id, id, diagonal FROM h WHERE NOT base))
+), m AS (
+  SELECT h.doc_id, h.id, h.label, h.size, n.run, min(p) AS first, max(p) + 3 AS last, len(list_distinct(flatten(list([t, t + 1, t + 2])))) AS covered
+  FROM h JOIN n ON h.doc_id = n.doc_id AND h.id = n.id AND h.diagonal = n.diagonal GROUP BY ALL
+), v AS (
+  SELECT doc_id, label, covered / size AS cover FROM m WHERE covered >= 0.75 * size AND last - first <= size / 0.75
+), a AS (
+  SELECT doc_id, label, 1.0::DOUBLE AS cover FROM b UNION ALL SELECT doc_id, label, cover FROM v
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_base, x.first_word::BIGINT AS first_word, x.last_word::BIGINT AS last_word,
+       coalesce(x.labels, '') AS base_labels, coalesce(y.labels, '') AS labels, coalesce(y.score, 0.0)::DOUBLE AS score
+FROM d
+LEFT JOIN (SELECT doc_id, count(*) AS n, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id) x USING (doc_id)
+LEFT JOIN (SELECT doc_id, max(cover) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM a GROUP BY doc_id) y USING (doc_id)
+"""
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, score of every document."""
     return lmscore.score(_table(spark, sf_dir, "documents"), lmscore.target_ids(_table(spark, sf_dir, "labels")))
@@ -151,4 +223,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op4_mixing": OP4_SQL, "op10_warc": OP10_SQL}
+    return {"op3_topk": OP3_SQL, "op4_mixing": OP4_SQL, "op7_minhash": OP7_SQL, "op8_license_scans": OP8_SQL, "op10_warc": OP10_SQL}

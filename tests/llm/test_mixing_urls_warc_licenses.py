@@ -307,3 +307,26 @@ def test_phrases_with_punctuation(spark, monkeypatch):
         monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
         got = {r["doc_id"]: (r["n_base"], r["first_word"], r["base_labels"]) for r in licenses.scan(docs, phrases=own).collect()}
         assert got == {1: (1, 1, "a"), 2: (0, None, "")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+@pytest.mark.parametrize("name", ["op7_minhash", "op8_license_scans"])
+def test_whole_tables_against_sql(spark, name):
+    got = queries.queries()[name](spark, "/root/testdata/sf0.01")
+    same(got, views(documents=spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), queries.oracle_sql()[name])
+
+
+def test_license_spans_against_sql(spark):
+    """Templates with words put in, left out and repeated: labels and scores of the method."""
+    rng = random.Random(9)
+    docs = []
+    for i in range(120):
+        words = rng.choice(licenses.TEMPLATES)[0].split() * rng.choice([1, 1, 2])
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = ["odd"] * rng.randrange(3)
+        docs.append((i, " ".join(["see"] * rng.randrange(9) + words + rng.choice([[], ["cc", "by", "nc"]]) + ["end"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = licenses.scan(df).drop("spans")
+    assert len({round(r["score"], 3) for r in got.collect()}) > 5
+    same(got, views(documents=df), queries.OP8_SQL)
