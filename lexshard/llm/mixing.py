@@ -169,7 +169,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = _with_plan(_keyed(docs, id_col, text_col, source_col, seed, row=True), plan)
     ids = ends.select(F.col("id").alias("of")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    near = docs.join(ids, docs[id_col].eqNullSafe(ids["of"]), "left_semi")  # so only these are looked at again
+    # Only these are looked at again. Written, so that no condition on their keys gets below the join, to all documents.
+    near = written(docs.join(ids, docs[id_col].eqNullSafe(ids["of"]), "left_semi"), "mix-near")
     there = _with_plan(_keyed(near, id_col, text_col, source_col, seed, row=True), plan).filter(_at_end()).withColumn("nth", F.row_number().over(Window.partitionBy("digest", "source").orderBy("size")))
     there = there.join(ends, (there["digest"] == ends["d"]) & there["source"].eqNullSafe(ends["s"]) & (there["nth"] == ends["n"]))
     both = _away_from_it(rows.filter(~_at_end())).select("row", "size", "taken").unionByName(there.select("row", "size", "taken"))
