@@ -6,11 +6,11 @@ shared evenly among the other words of these texts. MARK stands before the first
 
 In back-off form the log probability of a text is a sum: for each word log p(w), for each context v log of its back-off
 weight, and for each longer gram that the model has a weight of its own (which holds its back-off weight as a context, too).
-The first two are arrays as long as the vocabulary, which tasks hold: 24 bytes a word, and a model's texts are a bounded
-sample. The grams' weights are files of the shared folder, a shard of the grams' keys each. Scoring packs the grams of a
+The first two are arrays as long as the vocabulary, which tasks hold: 24 bytes a word. The grams' weights are files of the shared folder, a shard of the grams' keys each. Scoring packs the grams of a
 block of texts by shard, deals the packs to as many tasks as there are partitions, which read their shards' weights once,
 and adds what each shard found to the block's texts again: no row for each gram and text, and no text is shuffled. Grams that
-a Bloom filter of the model's rules out have no weight and aren't packed.
+a Bloom filter of the model's rules out have no weight and aren't packed; the filter is bounded, and rules out fewer where
+there are more grams. Tasks compute slices of a batch, so that what they hold beside it is bounded.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_end, new_path, open_fs, written
-from .words import batch_hashes, mix64, texts, tidy
+from .shared import at_end, discard, new_path, open_fs, written
+from .words import batch_hashes, mix64, tidy
 
 UNKNOWN, MARK = 0, 1
-#: Texts and bytes of a block, grams of a shard.
-BLOCK_TEXTS, BLOCK_BYTES = 4_000, 16 << 20
+#: Texts and bytes of a block, bytes of texts that are computed at once.
+BLOCK_TEXTS, BLOCK_BYTES, SLICE_BYTES = 4_000, 16 << 20, 1 << 20
+#: Grams of a shard in so many shards at least; of more grams, both shards and their grams grow with the root.
 SHARD_GRAMS, LEAST_SHARDS = 125_000, 64
+#: Bits of the Bloom filter, at most.
+BLOOM_BITS = 1 << 28
 Split = Callable[[bytes], list]
 
 
@@ -81,14 +84,19 @@ def vocabulary(docs: DataFrame, split: Split, least: int = 2) -> Vocabulary:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, _ = batch_hashes(batch.column("text"), split)
-            words, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            text = batch.column("text")
+            cuts = _cuts(text, 8 * SLICE_BYTES, BLOCK_TEXTS)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                h, _ = batch_hashes(text.slice(a, b - a), split)
+                words, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
         tidy()
 
     words = written(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     known = np.sort(words.filter(F.col("n") >= least).select("word").toArrow().column("word").to_numpy().view(np.uint64))
-    return Vocabulary(known, max(1, words.count() - len(known)))
+    others = max(1, words.count() - len(known))
+    discard(words)
+    return Vocabulary(known, others)
 
 
 def encode(column: pa.Array, split: Split, words: Vocabulary, lone: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +119,13 @@ def _grams(x: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return x[starts.astype(np.int64)[:, None] + np.arange(n)], doc
 
 
+def _cuts(column: pa.Array, most: int, count: int) -> list[int]:
+    """Bounds of slices of a column, which end with the text that takes them beyond ``most`` bytes, or at so many texts."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = sizes // most + np.arange(len(column)) // count
+    return [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(column)] if len(column) else []
+
+
 def keys(grams: np.ndarray) -> np.ndarray:
     """64-bit keys of grams: of two words exact, of more a hash."""
     g = grams.astype(np.uint64)
@@ -127,14 +142,21 @@ def gram_counts(docs: DataFrame, split: Split, words: Vocabulary, order: int, lo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, ends = encode(batch.column("text"), split, held.value, lone)
-            for n in range(2, order + 1):
-                grams, _ = _grams(x, ends, n)
-                if n < order:
-                    grams = grams[grams[:, 0] == MARK]
-                rows, c = np.unique(grams, axis=0, return_counts=True)
-                flat = pa.array(rows.astype(np.int32).ravel())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), flat), pa.array(c)], ["gram", "c"])
+            text = batch.column("text")
+            cuts = _cuts(text, SLICE_BYTES, BLOCK_TEXTS)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                x, ends = encode(text.slice(a, b - a), split, held.value, lone)
+                for n in range(2, order + 1):
+                    grams, _ = _grams(x, ends, n)
+                    if n < order:
+                        grams = grams[grams[:, 0] == MARK]
+                    if n == 2:
+                        pairs, c = np.unique(keys(grams), return_counts=True)
+                        rows = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1)
+                    else:
+                        rows, c = np.unique(grams, axis=0, return_counts=True)
+                    flat = pa.array(rows.astype(np.int32).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), flat), pa.array(c)], ["gram", "c"])
         tidy()
 
     return docs.select("text").mapInArrow(count, "gram array<int>, c long").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -159,12 +181,13 @@ def _times(c: Column) -> list[Column]:
 
 @dataclass
 class Model:
-    """log p(w) and log back-off weights by id; (gram, weight) of all longer grams that it has."""
+    """log p(w) and log back-off weights by id; (gram, weight) of all longer grams that it has, from tables that score() removes."""
 
     uni: np.ndarray
     back: np.ndarray
     weights: DataFrame
     order: int
+    tables: list[DataFrame] = field(default_factory=list)
 
 
 def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
@@ -182,7 +205,7 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
     all_seen = max(1.0, seen.sum())
     uni = np.maximum(seen - e, 0) / all_seen + (max(e.sum(), 1e-3) / all_seen if seen.any() else 1.0) / words.size
     uni = uni / uni.sum()
-    back, spark = np.ones(words.size), counts.sparkSession
+    back, spark, tables = np.ones(words.size), counts.sparkSession, []
     low, weights = spark.createDataFrame(pa.table({"w": np.arange(words.size), "p": uni})).select(F.array(F.col("w").cast("int")).alias("tail"), F.col("p").alias("low")), None
     for k in range(2, order + 1):
         level, head, tail = levels[k], F.slice("gram", 1, k - 1), F.slice("gram", 2, k - 1)
@@ -190,6 +213,7 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
         heads = level.groupBy(head.alias("head")).agg(F.sum("c").alias("total"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2"), F.count_if(c > 2).alias("n3"))
         gamma = F.greatest(F.lit(1e-9), d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
         heads = written(heads.select("head", "total", gamma.alias("gamma")), "contexts")
+        tables.append(heads)
         if k == 2:
             got = heads.select(F.col("head")[0].alias("v"), "gamma").toArrow()
             back[got.column("v").to_numpy()] = got.column("gamma").to_numpy()
@@ -199,12 +223,17 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
         backed = F.col("gamma") * F.col("low")
         p = _discounted(c, d) / F.col("total") + backed
         level = written(level.join(heads, head == F.col("head")).join(low, tail == F.col("tail")).select("gram", p.alias("p"), (F.log(p) - F.log(backed)).alias("weight")), f"grams-{k}")
+        tables.append(level)
         weights = (weights or {}) | {k: level.select("gram", "weight")}
         low = level.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
     every = weights[2]
     for k in range(3, order + 1):
         every = every.unionByName(weights[k])
-    return Model(np.log(uni), np.log(back), every if order == 2 else written(every, "weights"), order)
+    if order > 2:
+        every = written(every, "weights")
+        discard(*tables)
+        tables = [every]
+    return Model(np.log(uni), np.log(back), every, order, tables)
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -242,8 +271,9 @@ class Bloom:
 
 
 def _stored(weights: DataFrame, folder: str, shards: int, grams: int) -> Bloom:
-    """Files of sorted keys and their weights, one for each shard that has any. Two bytes for each key come to the driver."""
-    part = 1 << max(6, (12 * grams // shards).bit_length())
+    """Files of sorted keys and their weights, one for each shard that has any. Two bytes for each key, BLOOM_BITS at most, come
+    to the driver."""
+    part = 1 << max(6, min((12 * grams // shards).bit_length(), (BLOOM_BITS // shards).bit_length() - 1))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,11 +311,12 @@ def _load(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone: bool) -> DataFrame:
-    """docs' columns but text, n_words, and total: the log probability of each text and its end."""
+    """docs' columns but text, n_words, and total: the log probability of each text and its end. The model's tables are removed
+    once its weights are in files."""
     spark = docs.sparkSession
     odd = F.array_contains("gram", UNKNOWN) & (F.size("gram") == 2)
     grams = model.weights.filter(~odd).count()
-    shards, folder = max(LEAST_SHARDS, -(-grams // SHARD_GRAMS)), new_path(spark, "weights")
+    shards, folder = max(LEAST_SHARDS, math.ceil(math.sqrt(LEAST_SHARDS * grams / SHARD_GRAMS))), new_path(spark, "weights")
     bloom = _stored(model.weights.filter(~odd), folder, shards, grams)
     # Pairs with UNKNOWN are two for each word at most, and many in a text: these weights are arrays, too.
     after, before = np.zeros(words.size, np.float32), np.zeros(words.size, np.float32)
@@ -293,6 +324,7 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
     v, w, x = (got.column(c).to_numpy() for c in ("v", "w", "weight"))
     after[v[w == UNKNOWN]] = x[w == UNKNOWN]
     before[w[w != UNKNOWN]] = x[w != UNKNOWN]
+    discard(*model.tables)
     held = spark.sparkContext.broadcast((words, model.uni.astype(np.float32), model.back.astype(np.float32), after, before, bloom))
     at_end(held.destroy)
     order, unknown = model.order, -math.log(words.others)
@@ -303,30 +335,37 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
         words, uni, back, after, before, bloom = held.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            sizes = np.cumsum([len(t) for t in texts(batch.column("text"))]) // BLOCK_BYTES + np.arange(batch.num_rows) // BLOCK_TEXTS
-            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            cuts = _cuts(batch.column("text"), BLOCK_BYTES, BLOCK_TEXTS)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
-                x, ends = encode(part.column("text"), split, words, lone)
-                pairs, at = _grams(x, ends, 2)
-                v, w = pairs[:, 0], pairs[:, 1]
-                each = uni[w] + back[v] + np.where(w == UNKNOWN, unknown + after[v], np.where(v == UNKNOWN, before[w], 0.0))
-                rest = part.select(own).append_column("n_words", pa.array(np.diff(ends) - 2)).append_column("total", pa.array(np.bincount(at, each, b - a)))
+                column, sizes, totals, found = part.column("text"), [], [], []
+                inner = _cuts(column, SLICE_BYTES, BLOCK_TEXTS)
+                for i, j in zip(inner, inner[1:], strict=False):
+                    x, ends = encode(column.slice(i, j - i), split, words, lone)
+                    pairs, at = _grams(x, ends, 2)
+                    v, w = pairs[:, 0], pairs[:, 1]
+                    each = uni[w] + back[v] + np.where(w == UNKNOWN, unknown + after[v], np.where(v == UNKNOWN, before[w], 0.0))
+                    sizes.append(np.diff(ends) - 2)
+                    totals.append(np.bincount(at, each, j - i))
+                    plain = (v != UNKNOWN) & (w != UNKNOWN)
+                    grams = [(keys(pairs[plain]), at[plain])]
+                    for n in range(3, order + 1):
+                        more, text = _grams(x, ends, n)
+                        grams.append((keys(more), text))
+                    for key, at in grams:
+                        s = _shard(key, shards)
+                        some = np.flatnonzero(bloom.may_hold(key, s))
+                        found.append((s[some].astype(np.uint32), key[some], (at[some] + i).astype(np.uint32)))
+                rest = part.select(own).append_column("n_words", pa.array(np.concatenate(sizes))).append_column("total", pa.array(np.concatenate(totals)))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rest.schema) as f:
                     f.write_batch(rest)
-                plain = (v != UNKNOWN) & (w != UNKNOWN)
-                found = [(keys(pairs[plain]), at[plain])]
-                for n in range(3, order + 1):
-                    more, text = _grams(x, ends, n)
-                    found.append((keys(more), text))
-                key, at = (np.concatenate([y[k] for y in found]) for k in (0, 1))
-                s = _shard(key, shards)
-                some = np.flatnonzero(bloom.may_hold(key, s))
-                by = some[np.argsort(key[some], kind="stable")]
-                by = by[np.argsort(s[by].astype(np.uint16), kind="stable")]
+                s, key, at = (np.concatenate([y[k] for y in found]) for k in (0, 1, 2))
+                del found
+                by = np.argsort(key, kind="stable")
+                by = by[np.argsort(s[by].astype(np.uint16) if shards <= 1 << 16 else s[by], kind="stable")]
                 s, key, at = s[by], key[by], at[by]
-                bounds = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64))
+                bounds = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint32))
                 whose = block % shards
                 keep = [k for k in range(shards) if bounds[k + 1] > bounds[k] or k == whose]
                 blobs = [pack(np.diff(key[bounds[k] : bounds[k + 1]], prepend=np.uint64(0)), at[bounds[k] : bounds[k + 1]]) for k in keep]

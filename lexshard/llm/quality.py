@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text, thresholded by language.
 
-The model is fitted on a bounded sample of the trusted documents, half of them and ``sample`` documents and ``sample_words``
-words at most; the others are held out, and their perplexities give each language's threshold, apart for short, middling and long texts, whose perplexities
-scatter differently. Thresholds of few texts are drawn towards what more texts say, the less the more they are.
+The model is fitted on the whole texts of one half of the trusted documents, by the hashes of their ids, however many these
+are. The other half is held out, and its perplexities give each language's threshold, apart for short, middling and long
+texts, whose perplexities scatter differently. Thresholds of few texts are drawn towards what more texts say, the less the more they are.
 """
 
 from __future__ import annotations
@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 from .mixing import WORD
-from .shared import kept, scratch, written
+from .shared import discard, kept, scratch, written
 from .words import plain_words
 
-#: Trusted documents that the model is fitted on, and their words, at most. All others that are trusted count for the
-#: thresholds. Tasks hold 24 bytes for each word of the vocabulary, which has at most half of these words.
-SAMPLE, SAMPLE_WORDS = 20_000, 10_000_000
 ORDER = 2
 #: Ids of so many documents at most (8 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
@@ -46,11 +43,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS, order: int = ORDER, lone: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, sample: int | None = None, sample_words: int | None = None, order: int = ORDER, lone: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs: id, lang, n_words, perplexity, threshold, keep, and the columns named in ``also``.
 
     order: the words of the model's longest grams. lone: a word that repeats the one before it counts as unknown, so that
-    runs of one word, which a model finds likely, are found. The sample is taken in the order of the ids' hashes.
+    runs of one word, which a model finds likely, are found. sample, sample_words: where given, the model is fitted on so many
+    documents of its half, and words, at most, taken in the order of the ids' hashes; the rest of it is then held out, too.
     Perplexity is per word and end of text; a text is kept if it is at most the threshold. In logarithms, a language's
     threshold is the mean of its n held-out trusted texts and their quantile's distance from it, averaged, with weights n and
     WEIGHT, with this distance over all texts, each from its own language's mean. A length band's is its texts' quantile
@@ -65,22 +63,28 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return kept(_judge(docs, labels, id_col, text_col, lang_col, quantile, sample, sample_words, order, lone, also))
 
 
-def _judge(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, sample: int, sample_words: int, order: int, lone: bool, also: tuple[str, ...]) -> DataFrame:
+def _judge(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, sample: int | None, sample_words: int | None, order: int, lone: bool, also: tuple[str, ...]) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *also)
     good = written(trusted_ids(labels).withColumn("order", F.xxhash64(F.lit("sample"), "trusted")), "trusted")
-    first = good.filter(F.pmod("order", F.lit(2)) == 0).orderBy("order", "trusted").limit(sample)
-    own = rows.join(F.broadcast(first), F.col("id") == F.col("trusted")).select("order", "trusted", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n"))
-    so_far = F.sum("n").over(Window.orderBy("order", "trusted").rangeBetween(Window.unboundedPreceding, Window.currentRow))  # sample ids at most
-    fitted = own.groupBy("order", "trusted").agg(F.sum("n").alias("n")).withColumn("so_far", so_far).filter(F.col("so_far") <= sample_words)
-    fitted = written(fitted.select("trusted"), "sample")
-    own = written(rows.join(F.broadcast(fitted), F.col("id") == F.col("trusted"), "left_semi").select("text"), "sample-texts")
+    fitted = good.filter(F.pmod("order", F.lit(2)) == 0)
+    if sample is not None:
+        fitted = fitted.orderBy("order", "trusted").limit(sample)
+    if sample_words is not None:
+        own = rows.join(small(fitted), F.col("id") == F.col("trusted")).select("order", "trusted", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n"))
+        so_far = F.sum("n").over(Window.orderBy("order", "trusted").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        fitted = own.groupBy("order", "trusted").agg(F.sum("n").alias("n")).withColumn("so_far", so_far).filter(F.col("so_far") <= sample_words)
+    fitted = written(fitted.select("trusted"), "fitted")
+    own = written(rows.join(small(fitted), F.col("id") == F.col("trusted"), "left_semi").select("text"), "fitted-texts")
     words = ngrams.vocabulary(own, plain_words)
-    model = ngrams.fit(written(ngrams.gram_counts(own, plain_words, words, order, lone), "grams"), words, order)
+    counts = written(ngrams.gram_counts(own, plain_words, words, order, lone), "grams")
+    discard(own)
+    model = ngrams.fit(counts, words, order)
+    discard(counts)
     scored = ngrams.score(rows, plain_words, words, model, lone)
     loss = -F.col("total") / (F.col("n_words") + 1)
     scored = written(scored.select("id", "lang", *also, "n_words", F.when(F.col("n_words") > 0, loss).alias("loss")).withColumn("band", _band(F.col("n_words"))), "losses")
 
-    known = good.join(fitted, "trusted", "left_anti").select("trusted")
+    known = good.join(small(fitted), "trusted", "left_anti").select("trusted")
     held = written(scored.filter("loss IS NOT NULL").join(small(known), F.col("id") == F.col("trusted"), "left_semi"), "held-out")
     cut = F.percentile_approx("loss", quantile, 10_000)
     by_band = held.groupBy(F.col("lang").alias("l1"), F.col("band").alias("b1")).agg(cut.alias("q1"), F.count("*").alias("n1"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexshard.llm import lmscore, ngrams, quality
 from lexshard.llm.words import lower_words, plain_words
@@ -150,6 +151,27 @@ def test_sample_is_bounded_by_words(spark):
     assert len(none) == 1 and len({round(r["perplexity"], 6) for r in quality.judge(docs, labels).collect()}) > 1
 
 
+def test_model_counts_its_whole_half(spark):
+    """20,900 trusted texts in the model's half: passages of the last 900, by their ids' hashes, are known to the model."""
+    ids = spark.range(41_800).selectExpr("id AS doc_id", "xxhash64('sample', id) AS h")
+    late = ids.filter("pmod(h, 2) = 0").orderBy("h", "doc_id").offset(20_000).select("doc_id").withColumn("late", F.lit(True))
+    docs = ids.join(late, "doc_id", "left").selectExpr("doc_id", "if(late, 'at last', 'a b') AS text", "'en' AS lang").cache()
+    assert docs.filter("text = 'at last'").count() > 500
+    labels = ids.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = quality.judge(docs, labels).join(docs, "doc_id").filter("text = 'at last'").agg({"perplexity": "max"}).first()[0]
+    assert got < 10
+
+
+def test_slices_and_bounded_filter_change_nothing(spark, nasty, monkeypatch):
+    """Texts computed one by one, and a filter of so few bits that it rules out hardly a gram."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    rows = lambda: sorted((str(r["doc_id"]), r["n_words"], r["keep"], round(r["perplexity"] or 0, 2)) for r in quality.judge(nasty, labels, order=3).collect())
+    before = rows()
+    monkeypatch.setattr(ngrams, "SLICE_BYTES", 1)
+    monkeypatch.setattr(ngrams, "BLOOM_BITS", 1)
+    assert rows() == before
+
+
 def test_vocabulary_of_words_of_one_count(spark):
     """70,000 words that occur twice each are all in the vocabulary."""
     docs = spark.createDataFrame([(" ".join(f"v{i}" for i in range(k, k + 1000)),) for k in range(0, 70_000, 1000)] * 2, "text string")
