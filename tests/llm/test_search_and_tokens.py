@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexshard.llm import decontaminate, huffman, neardup, tokens, topk
+from lexshard.llm import components as components_module
 from lexshard.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -150,6 +151,18 @@ def test_top_k_of_large_components(spark):
         topk.search(huge).collect()
 
 
+@pytest.mark.parametrize("edges", [[], [(3, 3)], [(i, i + 1) for i in range(0, 300)], [(7, i) for i in range(200)], [(i * 7919 % 401, i * 104729 % 401) for i in range(330)]])
+def test_few_edges_are_joined_without_rounds(spark, edges, monkeypatch):
+    """Equal to the rounds; and no round runs."""
+    frame = spark.createDataFrame([*edges, (None, 1)], "u long, v long")
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", -1)
+    want = Counter(map(tuple, components(frame).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(components_module, "_large_star", None)
+    got = components(frame)
+    assert got.columns == ["node", "label"] and Counter(map(tuple, got.collect())) == want
+
+
 def brute_components(rows, k, least=0.8):
     sets = []
     for _, t in rows:
