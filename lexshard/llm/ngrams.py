@@ -6,9 +6,12 @@ shared evenly among the other words of these texts. MARK stands before the first
 
 In back-off form the log probability of a text is a sum: for each word log p(w), for each context v log of its back-off
 weight, and for each longer gram that the model has a weight of its own (which holds its back-off weight as a context, too).
-The first two are arrays as long as the vocabulary, which tasks hold: 24 bytes a word. The grams' weights are files of the shared folder, a shard of the grams' keys each. Scoring packs the grams of a
-block of texts by shard, deals the packs to as many tasks as there are partitions, which read their shards' weights once,
-and adds what each shard found to the block's texts again: no row for each gram and text, and no text is shuffled. Grams that
+The first two are arrays as long as the vocabulary, which tasks hold: 24 bytes a word. Pairs get their weights from such arrays,
+too, without a join. The grams' weights are files of the shared folder, a shard of the grams' keys each, to which they come
+packed. Scoring packs the grams of a
+block of texts by shard, deals the packs to as many tasks as there are partitions, which read their shards' weights once and
+add what these say of a text, and adds what each task found to the block's texts again: no row for each gram and text, and no
+text is shuffled. A text gets LEAST_SHARDS sums, however many shards there are. Grams that
 a Bloom filter of the model's rules out have no weight and aren't packed; the filter is bounded, and rules out fewer where
 there are more grams. Tasks compute slices of a batch, so that what they hold beside it is bounded.
 """
@@ -23,11 +26,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_end, discard, new_path, open_fs, written
+from .shared import at_end, discard, new_path, open_fs, release, written
 from .words import batch_hashes, mix64, tidy
 
 UNKNOWN, MARK = 0, 1
@@ -35,6 +38,10 @@ UNKNOWN, MARK = 0, 1
 BLOCK_TEXTS, BLOCK_BYTES, SLICE_BYTES = 4_000, 16 << 20, 1 << 20
 #: Grams of a shard in so many shards at least; of more grams, both shards and their grams grow with the root.
 SHARD_GRAMS, LEAST_SHARDS = 125_000, 64
+#: Grams that a task packs at once, for all shards.
+PACK_GRAMS = 1 << 20
+#: Sums of texts that a task holds.
+HELD_SUMS = 1 << 20
 #: Bits of the Bloom filter, at most.
 BLOOM_BITS = 1 << 28
 Split = Callable[[bytes], list]
@@ -181,18 +188,42 @@ def _times(c: Column) -> list[Column]:
 
 @dataclass
 class Model:
-    """log p(w) and log back-off weights by id; (gram, weight) of all longer grams that it has, from tables that score() removes."""
+    """log p(w) and log back-off weights by id; all longer grams that it has, from tables that score() removes, and what gives
+    rows of these (gram, weight)."""
 
     uni: np.ndarray
     back: np.ndarray
-    weights: DataFrame
+    grams: DataFrame
+    weigh: Callable[[DataFrame], DataFrame]
     order: int
     tables: list[DataFrame] = field(default_factory=list)
+    held: list[Broadcast] = field(default_factory=list)
+
+    @property
+    def weights(self) -> DataFrame:
+        return self.weigh(self.grams)
+
+
+def _pair_weights(held: Broadcast, d: tuple[float, float, float]) -> Callable[[DataFrame], DataFrame]:
+    """(gram, p, weight) of pairs (gram, c). Tasks hold three arrays by id: p(w), back-off weights, totals."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, gamma, total = held.value
+        for batch in batches:
+            gram, c = batch.column("gram"), batch.column("c").to_numpy()
+            v, w = gram.flatten().to_numpy().reshape(-1, 2).T
+            backed = gamma[v] * low[w]
+            p = np.maximum(0.0, c - np.array([0.0, *d])[np.minimum(c, 3)]) / total[v] + backed
+            yield pa.RecordBatch.from_arrays([gram, pa.array(p), pa.array(np.log(p) - np.log(backed))], ["gram", "p", "weight"])
+        tidy()
+
+    return lambda pairs: pairs.select("gram", "c").mapInArrow(weigh, "gram array<int>, p double, weight double")
 
 
 def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
-    """A model from gram_counts(). Grams below the highest order count their different predecessors, but for those that begin
-    with MARK, which have none. Two numbers for each word of the vocabulary come to the driver."""
+    """A model from gram_counts(), which a model of order two still reads. Grams below the highest order count their different
+    predecessors, but for those that begin with MARK, which have none. Three numbers for each word of the vocabulary come to
+    the driver, one after the other."""
     c, n = F.col("c"), F.size("gram")
     levels = {order: counts.filter(n == order)}
     for k in range(order - 1, 0, -1):
@@ -206,7 +237,7 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
     uni = np.maximum(seen - e, 0) / all_seen + (max(e.sum(), 1e-3) / all_seen if seen.any() else 1.0) / words.size
     uni = uni / uni.sum()
     back, spark, tables = np.ones(words.size), counts.sparkSession, []
-    low, weights = spark.createDataFrame(pa.table({"w": np.arange(words.size), "p": uni})).select(F.array(F.col("w").cast("int")).alias("tail"), F.col("p").alias("low")), None
+    weights: dict[int, DataFrame] = {}
     for k in range(2, order + 1):
         level, head, tail = levels[k], F.slice("gram", 1, k - 1), F.slice("gram", 2, k - 1)
         d = discounts(*level.agg(*_times(c)).first())
@@ -215,25 +246,35 @@ def fit(counts: DataFrame, words: Vocabulary, order: int) -> Model:
         heads = written(heads.select("head", "total", gamma.alias("gamma")), "contexts")
         tables.append(heads)
         if k == 2:
-            got = heads.select(F.col("head")[0].alias("v"), "gamma").toArrow()
-            back[got.column("v").to_numpy()] = got.column("gamma").to_numpy()
-        else:
-            own = heads.select(F.col("head").alias("gram"), F.log("gamma").alias("as_context"))
-            weights[k - 1] = weights[k - 1].join(own, "gram", "left").select("gram", (F.col("weight") + F.coalesce("as_context", F.lit(0.0))).alias("weight"))
+            total = np.ones(words.size)
+            for name, to in (("gamma", back), ("total", total)):
+                got = heads.select(F.col("head")[0].alias("v"), name).toArrow()
+                to[got.column("v").to_numpy()] = got.column(name).to_numpy()
+            held = spark.sparkContext.broadcast((uni, back, total))
+            at_end(held.destroy)
+            weigh = _pair_weights(held, d)
+            if order == 2:
+                discard(heads)
+                return Model(np.log(uni), np.log(back), level, lambda pairs: weigh(pairs).select("gram", "weight"), order, held=[held])
+            level = written(weigh(level), "grams-2")
+            held.unpersist()
+            tables.append(level)
+            weights[2], low = level.select("gram", "weight"), level.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
+            continue
+        own = heads.select(F.col("head").alias("gram"), F.log("gamma").alias("as_context"))
+        weights[k - 1] = weights[k - 1].join(own, "gram", "left").select("gram", (F.col("weight") + F.coalesce("as_context", F.lit(0.0))).alias("weight"))
         backed = F.col("gamma") * F.col("low")
         p = _discounted(c, d) / F.col("total") + backed
         level = written(level.join(heads, head == F.col("head")).join(low, tail == F.col("tail")).select("gram", p.alias("p"), (F.log(p) - F.log(backed)).alias("weight")), f"grams-{k}")
         tables.append(level)
-        weights = (weights or {}) | {k: level.select("gram", "weight")}
+        weights[k] = level.select("gram", "weight")
         low = level.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
     every = weights[2]
     for k in range(3, order + 1):
         every = every.unionByName(weights[k])
-    if order > 2:
-        every = written(every, "weights")
-        discard(*tables)
-        tables = [every]
-    return Model(np.log(uni), np.log(back), every, order, tables)
+    every = written(every, "weights")
+    discard(*tables)
+    return Model(np.log(uni), np.log(back), every, lambda grams: grams, order, [every])
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -270,30 +311,59 @@ class Bloom:
         return found
 
 
+def _pack_weights(key: np.ndarray, weight: np.ndarray) -> bytes:
+    """Sorted keys and their weights."""
+    return pack(np.diff(key, prepend=np.uint64(0)), weight.view(np.uint32))
+
+
+def _unpack_weights(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, weight = unpack(data)
+    return np.cumsum(steps, dtype=np.uint64), weight.astype(np.uint32).view(np.float32)
+
+
 def _stored(weights: DataFrame, folder: str, shards: int, grams: int) -> Bloom:
-    """Files of sorted keys and their weights, one for each shard that has any. Two bytes for each key, BLOOM_BITS at most, come
-    to the driver."""
+    """Files of sorted keys and their weights, packed, one for each shard that has any. Two bytes for each key, BLOOM_BITS at
+    most, come to the driver."""
     part = 1 << max(6, min((12 * grams // shards).bit_length(), (BLOOM_BITS // shards).bit_length() - 1))
 
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, weight = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        s = _shard(key, shards)
+        by = np.lexsort((key, s))
+        key, weight = key[by], weight[by]
+        bounds = np.searchsorted(s[by], np.arange(shards + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(bounds))
+        blobs = [_pack_weights(key[bounds[k] : bounds[k + 1]], weight[bounds[k] : bounds[k + 1]]) for k in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "packed"])
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
             size = pa.compute.list_value_length(b.column("gram")).to_numpy()
             key, flat, ends = np.empty(len(size), np.uint64), b.column("gram").flatten().to_numpy(), np.cumsum(size)
             for n in np.unique(size).tolist():
                 at = np.flatnonzero(size == n)
                 key[at] = keys(flat[(ends[at] - n)[:, None] + np.arange(n)])
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), b.column("weight").cast(pa.float32())], ["shard", "key", "weight"])
+            held.append((key, b.column("weight").to_numpy().astype(np.float32)))
+            rows += len(key)
+            if rows >= PACK_GRAMS:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
+        tidy()
 
     def save(table: pa.Table) -> pa.Table:
-        key, order = table.column("key").to_numpy().view(np.uint64), np.argsort(table.column("key").to_numpy().view(np.uint64))
+        key, weight = (np.concatenate(x) for x in zip(*map(_unpack_weights, table.column("packed").to_pylist()), strict=True))
+        order = np.argsort(key)
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         shard = table.column("shard")[0].as_py()
         with fs.open_output_stream(f"{base}/{shard}", compression=None) as f:
-            f.write(struct.pack("<Q", len(key)) + key[order].tobytes() + table.column("weight").to_numpy()[order].astype(np.float32).tobytes())
+            f.write(_pack_weights(key[order], weight[order]))
         return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([Bloom.of(key, part)], pa.binary())})
 
-    rows = weights.mapInArrow(own, "shard int, key long, weight float")
+    rows = weights.mapInArrow(own, "shard int, packed binary")
     bits = np.zeros(shards * part // 8, np.uint8)
     for r in rows.groupBy("shard").applyInArrow(save, "shard int, bits binary").toLocalIterator():
         bits[r["shard"] * part // 8 : (r["shard"] + 1) * part // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -304,8 +374,7 @@ def _load(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
     fs, base = open_fs(folder)
     try:
         with fs.open_input_stream(f"{base}/{shard}", compression=None) as f:
-            (n,) = struct.unpack("<Q", f.read(8))
-            return np.frombuffer(f.read(8 * n), np.uint64), np.frombuffer(f.read(4 * n), np.float32)
+            return _unpack_weights(f.read())
     except FileNotFoundError:  # no gram fell into it
         return np.empty(0, np.uint64), np.empty(0, np.float32)
 
@@ -315,16 +384,19 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
     once its weights are in files."""
     spark = docs.sparkSession
     odd = F.array_contains("gram", UNKNOWN) & (F.size("gram") == 2)
-    grams = model.weights.filter(~odd).count()
+    grams = model.grams.filter(~odd).count()
     shards, folder = max(LEAST_SHARDS, math.ceil(math.sqrt(LEAST_SHARDS * grams / SHARD_GRAMS))), new_path(spark, "weights")
-    bloom = _stored(model.weights.filter(~odd), folder, shards, grams)
+    bloom = _stored(model.weigh(model.grams.filter(~odd)), folder, shards, grams)
     # Pairs with UNKNOWN are two for each word at most, and many in a text: these weights are arrays, too.
     after, before = np.zeros(words.size, np.float32), np.zeros(words.size, np.float32)
-    got = model.weights.filter(odd).select(F.col("gram")[0].alias("v"), F.col("gram")[1].alias("w"), "weight").toArrow()
+    got = model.weigh(model.grams.filter(odd)).select(F.col("gram")[0].alias("v"), F.col("gram")[1].alias("w"), "weight").toArrow()
     v, w, x = (got.column(c).to_numpy() for c in ("v", "w", "weight"))
     after[v[w == UNKNOWN]] = x[w == UNKNOWN]
     before[w[w != UNKNOWN]] = x[w != UNKNOWN]
     discard(*model.tables)
+    for b in model.held:
+        b.unpersist()
+    release(spark)
     held = spark.sparkContext.broadcast((words, model.uni.astype(np.float32), model.back.astype(np.float32), after, before, bloom))
     at_end(held.destroy)
     order, unknown = model.order, -math.log(words.others)
@@ -376,17 +448,33 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known, weights = None, None, None
+        sums, held = {}, 0
+
+        def rows(blocks: list[int], sums: list[bytes | None], info: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(sums, pa.binary()), pa.array(info, pa.binary())], ["block", "sums", "info"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, (steps, at) = batch.column("shard")[i].as_py(), unpack(batch.column("packed")[i].as_py())
+                block, shard, texts, info = (batch.column(c)[i].as_py() for c in ("block", "shard", "texts", "info"))
+                steps, at = unpack(batch.column("packed")[i].as_py())
+                if info is not None:
+                    yield rows([block], [None], [info])
                 if shard != last:  # rows come in the order of their shards
                     last, (known, weights) = shard, _load(folder, shard)
-                sums = None
-                if len(known) and len(steps):
-                    key = np.cumsum(steps, dtype=np.uint64)
-                    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    sums = np.bincount(at.astype(np.int64), np.where(known[place] == key, weights[place], 0), batch.column("texts")[i].as_py()).astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([sums], pa.binary()), batch.column("info").slice(i, 1)], ["block", "sums", "info"])
+                if not len(known) or not len(steps):
+                    continue
+                key = np.cumsum(steps, dtype=np.uint64)
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                here = np.bincount(at.astype(np.int64), np.where(known[place] == key, weights[place], 0), texts)
+                if block in sums:
+                    sums[block] += here
+                    continue
+                if held + texts > HELD_SUMS:
+                    yield rows([*sums], [x.astype(np.float32).tobytes() for x in sums.values()], [None] * len(sums))
+                    sums, held = {}, 0
+                sums[block] = here
+                held += texts
+        yield rows([*sums], [x.astype(np.float32).tobytes() for x in sums.values()], [None] * len(sums))
         tidy()
 
     def added(rows: pa.Table) -> pa.Table:
@@ -399,6 +487,7 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
 
     rows = docs.select(*own, "text").mapInArrow(packed, "block long, shard int, texts long, packed binary, info binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod("block", F.lit(max(1, -(-parts // shards)))).alias("salt")  # a shard's packs go to many tasks
-    dealt = rows.repartition(max(parts, shards), "shard", salt).sortWithinPartitions("shard")
+    group = F.pmod("shard", F.lit(LEAST_SHARDS)).alias("group")
+    salt = F.pmod("block", F.lit(max(1, -(-parts // LEAST_SHARDS)))).alias("salt")  # a group's packs go to many tasks
+    dealt = rows.repartition(max(parts, LEAST_SHARDS), group, salt).sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(found, "block long, sums binary, info binary").groupBy("block").applyInArrow(added, out_schema)

@@ -79,7 +79,10 @@ def _judge(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     counts = written(ngrams.gram_counts(own, plain_words, words, order, lone), "grams")
     discard(own)
     model = ngrams.fit(counts, words, order)
-    discard(counts)
+    if order > 2:
+        discard(counts)
+    else:
+        model.tables.append(counts)
     scored = ngrams.score(rows, plain_words, words, model, lone)
     loss = -F.col("total") / (F.col("n_words") + 1)
     scored = written(scored.select("id", "lang", *also, "n_words", F.when(F.col("n_words") > 0, loss).alias("loss")).withColumn("band", _band(F.col("n_words"))), "losses")

@@ -92,6 +92,12 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished jobs that nothing refers to any more; it does so when the driver's
+    garbage is collected, which may be long after."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(path: str):
     """(filesystem, path in it) for a path with or without a scheme; for use in tasks."""
     from pyarrow import fs

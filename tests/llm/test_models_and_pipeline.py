@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexshard.llm import lmscore, ngrams, quality
+from lexshard.llm.shared import new_path, written
 from lexshard.llm.words import lower_words, plain_words
 
 SF = "/root/testdata/sf0.01"
@@ -172,6 +173,50 @@ def test_slices_and_bounded_filter_change_nothing(spark, nasty, monkeypatch):
     assert rows() == before
 
 
+def shuffled(spark):
+    """Bytes that have been written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_disk_of_a_gram(spark):
+    """A model of pairs moves its grams once, packed, and keeps them packed; no table of theirs is written beside the counts."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 3_000, 500)),) for _ in range(400)], "text string")
+    words = ngrams.vocabulary(docs, plain_words)
+    counts = written(ngrams.gram_counts(docs, plain_words, words, 2, False), "grams")
+    before, grams, folder = shuffled(spark), counts.count(), new_path(spark, "weights")
+    model = ngrams.fit(counts, words, 2)
+    bloom = ngrams._stored(model.weights, folder, 64, grams)
+    assert not model.tables and (shuffled(spark) - before) / grams < 15
+    path = folder.removeprefix("file:")
+    assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) / grams < 10
+    want = {tuple(r["gram"]): r["weight"] for r in model.weights.collect()}
+    for shard in range(0, 64, 9):
+        key, weight = ngrams._load(folder, shard)
+        assert len(key) > grams / 128 and bloom.may_hold(key, np.full(len(key), shard, np.uint64)).all()
+        assert all(x == pytest.approx(want[k >> 32, k & 0xFFFFFFFF], abs=1e-6) for k, x in zip(key.tolist(), weight.tolist(), strict=True))
+
+
+def test_sums_do_not_grow_with_shards(spark, monkeypatch):
+    """A text's sums are as many in 2,000 shards as in 64, and what a task doesn't hold is added alike."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 2_000, 40)), "en") for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4_000)], "doc_id long, quality int, toxic int")
+    got, moved = [], []
+    for patch in ({}, {"SHARD_GRAMS": 1}, {"SHARD_GRAMS": 1, "HELD_SUMS": 1}):
+        for name, value in patch.items():
+            monkeypatch.setattr(ngrams, name, value)
+        before = shuffled(spark)
+        got.append({r["doc_id"]: r["perplexity"] for r in quality.judge(docs, labels).collect()})
+        moved.append(shuffled(spark) - before)
+    assert moved[1] < 3 * moved[0]
+    for other in got[1:]:
+        assert len(other) == 4_000 and all(other[i] == pytest.approx(x, rel=1e-5) for i, x in got[0].items())
+
+
 def test_vocabulary_of_words_of_one_count(spark):
     """70,000 words that occur twice each are all in the vocabulary."""
     docs = spark.createDataFrame([(" ".join(f"v{i}" for i in range(k, k + 1000)),) for k in range(0, 70_000, 1000)] * 2, "text string")
