@@ -379,6 +379,11 @@ def _load(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.float32)
 
 
+def _salt(salts: int) -> Column:
+    """One of so many for each block. Blocks of different partitions are multiples of 2^32 apart."""
+    return F.pmod(F.xxhash64("block"), F.lit(salts))
+
+
 def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone: bool) -> DataFrame:
     """docs' columns but text, n_words, and total: the log probability of each text and its end. The model's tables are removed
     once its weights are in files."""
@@ -438,7 +443,7 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
                 by = by[np.argsort(s[by].astype(np.uint16) if shards <= 1 << 16 else s[by], kind="stable")]
                 s, key, at = s[by], key[by], at[by]
                 bounds = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint32))
-                whose = block % shards
+                whose = (block + (block >> 32)) % shards
                 keep = [k for k in range(shards) if bounds[k + 1] > bounds[k] or k == whose]
                 blobs = [pack(np.diff(key[bounds[k] : bounds[k + 1]], prepend=np.uint64(0)), at[bounds[k] : bounds[k + 1]]) for k in keep]
                 info = [sink.getvalue().to_pybytes() if k == whose else None for k in keep]
@@ -488,6 +493,6 @@ def score(docs: DataFrame, split: Split, words: Vocabulary, model: Model, lone:
     rows = docs.select(*own, "text").mapInArrow(packed, "block long, shard int, texts long, packed binary, info binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.pmod("shard", F.lit(LEAST_SHARDS)).alias("group")
-    salt = F.pmod("block", F.lit(max(1, -(-parts // LEAST_SHARDS)))).alias("salt")  # a group's packs go to many tasks
+    salt = _salt(max(1, -(-parts // LEAST_SHARDS))).alias("salt")  # a group's packs go to many tasks
     dealt = rows.repartition(max(parts, LEAST_SHARDS), group, salt).sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(found, "block long, sums binary, info binary").groupBy("block").applyInArrow(added, out_schema)

@@ -217,6 +217,11 @@ def test_sums_do_not_grow_with_shards(spark, monkeypatch):
         assert len(other) == 4_000 and all(other[i] == pytest.approx(x, rel=1e-5) for i, x in got[0].items())
 
 
+def test_first_blocks_of_partitions_get_all_salts(spark):
+    blocks = spark.range(256).selectExpr("id << 32 AS block")
+    assert blocks.select(ngrams._salt(4)).distinct().count() == 4
+
+
 def test_vocabulary_of_words_of_one_count(spark):
     """70,000 words that occur twice each are all in the vocabulary."""
     docs = spark.createDataFrame([(" ".join(f"v{i}" for i in range(k, k + 1000)),) for k in range(0, 70_000, 1000)] * 2, "text string")
