@@ -212,7 +212,7 @@ def test_sums_do_not_grow_with_shards(spark, monkeypatch):
         before = shuffled(spark)
         got.append({r["doc_id"]: r["perplexity"] for r in quality.judge(docs, labels).collect()})
         moved.append(shuffled(spark) - before)
-    assert moved[1] < 3 * moved[0]
+    assert moved[1] < 1.4 * moved[0]
     for other in got[1:]:
         assert len(other) == 4_000 and all(other[i] == pytest.approx(x, rel=1e-5) for i, x in got[0].items())
 
